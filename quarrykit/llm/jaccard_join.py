@@ -91,7 +91,7 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         held = np.bincount(run)[run] > 1
         shared = np.bincount(owner[held], minlength=len(flat))
         hit = np.flatnonzero(shared)
-        return pd.DataFrame({"cls": [flat[i].tobytes() for i in hit], "shared": shared[hit].astype(np.int64)})
+        return pd.DataFrame({"cls": pd.Series([flat[i].tobytes() for i in hit], dtype=object), "shared": shared[hit].astype(np.int64)})
 
     dealt = docs.mapInArrow(deal, "bucket int, keys binary, tokens binary, owner binary")
     return dealt.groupBy("bucket").applyInPandas(count, "cls binary, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
@@ -125,8 +125,9 @@ def _survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
             at += n
 
     of = survivors.select(F.col("rep").alias("rep"), F.col("cls").alias("want"))
-    rows = docs.join(of, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("id", "text").mapInArrow(sets, "cls binary, tokens binary")
-    rows = rows.join(survivors.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "tokens")
+    # survivors grow with the corpus, so they are never broadcast
+    rows = docs.join(of.hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("id", "text").mapInArrow(sets, "cls binary, tokens binary")
+    rows = rows.join(survivors.select("cls").hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "tokens")
     return staged(rows.mapInArrow(number, "block int, at int, cls binary, n long, tokens binary"), "sets")
 
 
@@ -161,11 +162,11 @@ def _ordered(sets: DataFrame, buckets: int) -> DataFrame:
             if held.any():
                 out.append((block, own[held].tobytes(), tokens[mine][held].tobytes(), df[mine][held].tobytes()))
             at += size
-        return pd.DataFrame(out, columns=["block", "owner", "tokens", "df"])
+        return pd.DataFrame(out, columns=["block", "owner", "tokens", "df"], dtype=object)
 
     def gather(sets_: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
         if not len(sets_) or not len(back):
-            return pd.DataFrame({"v": pd.Series(dtype="int64"), "cls": [], "n": pd.Series(dtype="int64"), "prefix": [], "body": []})
+            return pd.DataFrame([], columns=["v", "cls", "n", "prefix", "body"], dtype=object)
         owner = np.concatenate([np.frombuffer(o, np.uint32) for o in back["owner"]])
         tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in back["tokens"]])
         df = np.concatenate([np.frombuffer(d, np.uint32) for d in back["df"]])
@@ -177,7 +178,7 @@ def _ordered(sets: DataFrame, buckets: int) -> DataFrame:
             alone = n - (b - a)
             if b > a and 5 * alone <= n:
                 out.append(((int(block) << 32) + int(at), cls, int(n), tokens[a : a + n // 5 + 1 - alone].astype(np.int64), tokens[a:b].tobytes()))
-        return pd.DataFrame(out, columns=["v", "cls", "n", "prefix", "body"])
+        return pd.DataFrame(out, columns=["v", "cls", "n", "prefix", "body"], dtype=object)
 
     back = sets.select("block", "at", "tokens").mapInArrow(deal, "bucket int, block int, owner binary, tokens binary")
     back = back.groupBy("bucket").applyInPandas(count, "block int, owner binary, tokens binary, df binary")
@@ -203,7 +204,7 @@ def _linked(work: DataFrame) -> DataFrame:
             side = None if i == j else (g["blk"].to_numpy() == j).astype(int)
             sets = [np.frombuffer(b, np.uint64) for b in g["body"]]
             links += [(int(v[a]), int(v[b])) for a, b in join_components(sets, g["n"].to_numpy(), g["label"].to_numpy(), side)]
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return work.groupBy("unit").applyInPandas(run, "a long, b long")
 
