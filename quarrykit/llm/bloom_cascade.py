@@ -42,7 +42,7 @@ class Level:
 
     def passes(self, key: Column) -> Column:
         """Whether all of the key's bits are set."""
-        table = F.lit(list(self.words))
+        table = F.lit(list(self.words)).cast("array<long>")
         ok = F.lit(True)
         for at in _positions(key, self.bits, self.hashes, self.seed):
             ok = ok & (F.getbit(F.element_at(table, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
