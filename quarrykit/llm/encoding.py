@@ -47,7 +47,7 @@ class _Index(dict):
 class Encoder:
     """Ids of whole texts with add_special_tokens=False; strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str, most_chunks: int = 600_000) -> None:
+    def __init__(self, path: str, most_chunks: int = 1_000_000) -> None:
         import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -88,46 +88,50 @@ class Encoder:
             return re.split(r"(?= \S)", text)  # a space before something else always begins a word
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
-    def _append(self, ids: list[np.ndarray]) -> None:
-        n = self.known + len(ids)
-        total = self.filled + sum(map(len, ids))
-        if n > len(self.start):
-            grow = max(n, 2 * len(self.start))
-            self.start, self.length = np.resize(self.start, grow), np.resize(self.length, grow)
+    def _append(self, ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> None:
+        """Keep the ids of chunks ``at``, one after another, ``sizes`` of each."""
+        total = self.filled + len(ids)
         if total > len(self.flat):
             self.flat = np.resize(self.flat, max(total, 2 * len(self.flat)))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.length[self.known : n] = sizes
-        self.start[self.known : n] = self.filled + np.cumsum(sizes) - sizes
-        if ids:
-            self.flat[self.filled : total] = np.concatenate(ids)
-        self.known, self.filled = n, total
+        self.flat[self.filled : total] = ids
+        self.length[at] = sizes
+        self.start[at] = self.filled + np.cumsum(sizes) - sizes
+        self.filled = total
 
     def _learn(self) -> None:
         """Give the new chunks their ids."""
         new, self.index.new = self.index.new, []
-        out: list[np.ndarray | None] = [None] * len(new)
-        plain, odd = [], []
+        base, self.known = self.known, self.known + len(new)
+        if self.known > len(self.start):
+            grow = max(self.known, 2 * len(self.start))
+            self.start, self.length = np.resize(self.start, grow), np.resize(self.length, grow)
+        plain, odd, cut = [], [], []
         for i, c in enumerate(new):
             if self.words:
-                (plain if not c or PLAIN.fullmatch(c) else odd).append(i)
+                if not c or PLAIN.fullmatch(c):
+                    plain.append(i)
+                    low = c.lower()
+                    cut.append(low if low.isalpha() else "\0".join(self.pieces(low)))
+                else:
+                    odd.append(i)
+            elif c.isalpha() or c[1:].isalpha() and c[0] == " ":  # one piece
+                plain.append(i)
+                cut.append(c)
+            elif "\0" in c or INNER.search(c):
+                odd.append(i)
             else:
-                (odd if "\0" in c or INNER.search(c) else plain).append(i)
+                plain.append(i)
+                cut.append("\0".join(self.pieces(c)))
         for a in range(0, len(plain), 1000):
-            part = plain[a : a + 1000]
-            cut = "\n".join("\0".join(self.pieces(new[i].lower() if self.words else new[i])) for i in part)
-            joined = cut.encode().decode("latin-1").translate(self.table)
+            joined = "\n".join(cut[a : a + 1000]).encode().decode("latin-1").translate(self.table)
             ids = np.asarray(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
-            at = np.flatnonzero(ids == self.mark_id)
-            lo = 0
-            for i, hi in zip(part, [*at.tolist(), len(ids)], strict=True):
-                out[i] = ids[lo:hi]
-                lo = hi + 1
+            mark = ids == self.mark_id
+            ends = np.append(np.flatnonzero(mark), len(ids))
+            self._append(ids[~mark], np.diff(ends, prepend=-1) - 1, base + np.array(plain[a : a + 1000]))
         for a in range(0, len(odd), 500):
             part = odd[a : a + 500]
-            for i, e in zip(part, self.whole.encode_batch([new[i] for i in part], add_special_tokens=False), strict=True):
-                out[i] = np.asarray(e.ids, np.int32)
-        self._append(out)
+            found = [e.ids for e in self.whole.encode_batch([new[i] for i in part], add_special_tokens=False)]
+            self._append(np.array([x for f in found for x in f], np.int32), np.array([len(f) for f in found]), base + np.array(part))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
