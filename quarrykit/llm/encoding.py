@@ -21,6 +21,8 @@ ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "
 ODD_WIDE = tuple(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Letters that neither normal form C nor lower-casing treats other than one by one.
 INNER = re.compile(r"(?s:(?<=.)\s)|^[^\S ]|^\s$")
+#: New chunks of one text for the library, whose time grows faster than the text.
+JOINED = 200
 PLAIN = re.compile("[\x21-\x7e\xa1-įı-ž]+")
 
 
@@ -122,12 +124,12 @@ class Encoder:
             else:
                 plain.append(i)
                 cut.append("\0".join(self.pieces(c)))
-        for a in range(0, len(plain), 1000):
-            joined = "\n".join(cut[a : a + 1000]).encode().decode("latin-1").translate(self.table)
+        for a in range(0, len(plain), JOINED):
+            joined = "\n".join(cut[a : a + JOINED]).encode().decode("latin-1").translate(self.table)
             ids = np.asarray(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
             mark = ids == self.mark_id
             ends = np.append(np.flatnonzero(mark), len(ids))
-            self._append(ids[~mark], np.diff(ends, prepend=-1) - 1, base + np.array(plain[a : a + 1000]))
+            self._append(ids[~mark], np.diff(ends, prepend=-1) - 1, base + np.array(plain[a : a + JOINED]))
         for a in range(0, len(odd), 500):
             part = odd[a : a + 500]
             found = [e.ids for e in self.whole.encode_batch([new[i] for i in part], add_special_tokens=False)]
