@@ -38,21 +38,30 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def _infos(docs: DataFrame) -> DataFrame:
-    """(id, cls, n, s): each document's class, set size, and shingles in the counted part."""
+    """(id, cls, half, n, s): each document's class, the first half of its key, set size, and shingles in the counted part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            keys = [set_key(s) if len(s) else None for s in sets]
             yield _rows(
-                id=batch.column(0), cls=pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
+                id=batch.column(0), cls=pa.array(keys, pa.binary()), half=pa.array([_half(k) if k else None for k in keys], pa.int64()),
                 n=pa.array([len(s) for s in sets], pa.int64()), s=pa.array([int(np.searchsorted(s, np.uint64(PART))) for s in sets], pa.int64()),
             )
 
-    return docs.mapInArrow(run, "id long, cls binary, n long, s long")
+    return docs.mapInArrow(run, "id long, cls binary, half long, n long, s long")
+
+
+def _half(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(cls, shared): for each class with any, how many of its shingles in the counted part another class has too."""
+    """(half, shared): for each class with any, how many of its shingles in the counted part another class has too.
+
+    A shingle travels with the first half of its class's key: 16 bytes each, whatever the number of buckets. Only two
+    linked classes with the same half, a chance of 2 ** -64 as for two shingles with the same hash, could lose their link.
+    """
     step = PART // buckets + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,18 +79,15 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
             bucket = (tokens // np.uint64(step)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-            keys = np.frombuffer(b"".join(seen), "V16")
+            keys = np.array([_half(k) for k in seen], np.int64)
             at = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
-                mine, local = np.unique(owner[a:b], return_inverse=True)
-                yield _rows(bucket=pa.array([int(bucket[a])], pa.int32()), keys=pa.array([keys[mine].tobytes()], pa.binary()), tokens=pa.array([tokens[a:b].tobytes()], pa.binary()), owner=pa.array([local.astype(np.uint32).tobytes()], pa.binary()))
+                yield _rows(bucket=pa.array([int(bucket[a])], pa.int32()), tokens=pa.array([tokens[a:b].tobytes()], pa.binary()), owner=pa.array([keys[owner[a:b]].tobytes()], pa.binary()))
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, "V16") for k in part["keys"]]
-        flat, number = np.unique(_as_pairs(b"".join(part["keys"])), return_inverse=True)
-        base = np.cumsum([0, *map(len, keys)])
-        owner = np.concatenate([number[b + np.frombuffer(o, np.uint32)] for b, o in zip(base, part["owner"], strict=False)])
+        owner = np.concatenate([np.frombuffer(o, np.int64) for o in part["owner"]])
         tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in part["tokens"]])
+        flat, owner = np.unique(owner, return_inverse=True)
         order = np.lexsort((owner, tokens))
         owner, tokens = owner[order], tokens[order]
         new_token = np.concatenate([[True], tokens[1:] != tokens[:-1]])
@@ -91,15 +97,10 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         held = np.bincount(run)[run] > 1
         shared = np.bincount(owner[held], minlength=len(flat))
         hit = np.flatnonzero(shared)
-        return pd.DataFrame({"cls": pd.Series([flat[i].tobytes() for i in hit], dtype=object), "shared": shared[hit].astype(np.int64)})
-
-    dealt = docs.mapInArrow(deal, "bucket int, keys binary, tokens binary, owner binary")
-    return dealt.groupBy("bucket").applyInPandas(count, "cls binary, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
-
+        return pd.DataFrame({"half": flat[hit], "shared": shared[hit].astype(np.int64)})
 
-def _as_pairs(raw: bytes) -> np.ndarray:
-    """16-byte keys as a sortable array."""
-    return np.frombuffer(raw, np.dtype([("a", "<u8"), ("b", "<u8")]))
+    dealt = docs.mapInArrow(deal, "bucket int, tokens binary, owner binary")
+    return dealt.groupBy("bucket").applyInPandas(count, "half long, shared long").groupBy("half").agg(F.sum("shared").alias("shared"))
 
 
 def _survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
@@ -250,9 +251,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = 2 * width(spark)
     infos = staged(_infos(t), "infos")
-    classes = infos.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("s").alias("s"))
+    classes = infos.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("half").alias("half"), F.max("n").alias("n"), F.max("s").alias("s"))
     shared = _shared_counts(t, buckets)
-    hopeful = classes.join(shared, "cls", "left").where(5 * (F.col("s") - F.coalesce("shared", F.lit(0))) <= F.col("n")).select("cls", "rep")
+    hopeful = classes.join(shared, "half", "left").where(5 * (F.col("s") - F.coalesce("shared", F.lit(0))) <= F.col("n")).select("cls", "rep")
     hopeful = staged(hopeful, "hopeful")
     ordered = _ordered(_survivor_sets(t, hopeful), buckets)
     links = _links(ordered, _clusters(ordered), 2 * buckets)
