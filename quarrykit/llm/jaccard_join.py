@@ -31,6 +31,8 @@ from quarrykit.plans.storage import staged, width
 PART = int(0.4 * 2**64)
 #: Shingles of one task's block of a cluster.
 LOAD = 300_000
+#: Bits of the filter of survivors' ids: 16 for each, and no more than 2 ** 29 (64 MB) for any number of them.
+LEAST_BITS, MOST_BITS, BITS_EACH = 2**15, 2**29, 16
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -103,14 +105,35 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInPandas(count, "half long, shared long").groupBy("half").agg(F.sum("shared").alias("shared"))
 
 
+def _id_filter(survivors: DataFrame) -> tuple[int, bytes]:
+    """(bits, filter): a bit is set for the hash of each survivor's id. Its size is bounded; more survivors than it is made for let more others through."""
+    bits = LEAST_BITS
+    wanted = min(MOST_BITS, BITS_EACH * survivors.count())
+    while bits < wanted:
+        bits *= 2
+    place = F.pmod(F.xxhash64("rep"), F.lit(bits))
+    parts = survivors.select(place.alias("p")).groupBy(F.shiftright("p", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("map"))
+    out = bytearray(bits // 8)
+    for part, found in parts.collect():  # one row of 4 KB for each 2 ** 15 bits: at most 64 MB
+        out[4096 * part : 4096 * part + len(found)] = found
+    return bits, bytes(out)
+
+
 def _survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """(block, at, cls, n, tokens): the set of each surviving class once; block and at number it."""
+    """(block, at, cls, n, tokens): the set of each surviving class once; block and at number it.
+
+    Texts are not shuffled: a filter of bounded size picks nearly only survivors' rows, and the join by class drops the sets of others.
+    """
+    bits, raw = _id_filter(survivors)
+    id_filter = docs.sparkSession.sparkContext.broadcast(raw)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(id_filter.value, np.uint8)
         for batch in batches:
             found: dict[bytes, np.ndarray] = {}
-            for t in batch.column(1):
-                s = shingle_set(t.as_py())
+            p = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in np.flatnonzero((held[p >> 3] >> (p & 7).astype(np.uint8)) & 1).tolist():
+                s = shingle_set(batch.column(1)[i].as_py())
                 if len(s):
                     found.setdefault(set_key(s), s)
             yield _rows(cls=pa.array(list(found), pa.binary()), tokens=pa.array([s.tobytes() for s in found.values()], pa.binary()))
@@ -125,9 +148,8 @@ def _survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
             yield _rows(block=pa.array([block] * n, pa.int32()), at=pa.array(range(at, at + n), pa.int32()), cls=batch.column(0), n=pa.array(lengths, pa.int64()), tokens=batch.column(1))
             at += n
 
-    of = survivors.select(F.col("rep").alias("rep"), F.col("cls").alias("want"))
+    rows = docs.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p"), "text").mapInArrow(sets, "cls binary, tokens binary")
     # survivors grow with the corpus, so they are never broadcast
-    rows = docs.join(of.hint("merge"), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("id", "text").mapInArrow(sets, "cls binary, tokens binary")
     rows = rows.join(survivors.select("cls").hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "tokens")
     return staged(rows.mapInArrow(number, "block int, at int, cls binary, n long, tokens binary"), "sets")
 
