@@ -239,14 +239,17 @@ def _unit(small: F.Column, units: int) -> F.Column:
 
 def _links(ordered: DataFrame, clusters: DataFrame, units: int) -> DataFrame:
     """(a, b): links that connect all classes that similar sets connect."""
-    t = ordered.select("v", "n", "body").join(clusters, "v")
-    size = clusters.join(ordered.select("v", (F.octet_length("body") / 8).alias("load")), "v").groupBy("cluster").agg(F.ceil(F.sum("load") / LOAD).cast("int").alias("blocks"))
-    t = staged(t.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")), "clusters")
+    # where each class goes is settled over numbers only; the sets are then shuffled once to meet that and once to their units
+    load = clusters.join(ordered.select("v", (F.octet_length("body") / 8).alias("load")), "v")
+    size = load.groupBy("cluster").agg(F.ceil(F.sum("load") / LOAD).cast("int").alias("blocks"))
+    place = staged(load.select("v", "cluster").join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")), "places")
+    sets = ordered.select("v", "n", "body")
+    t = sets.join(place, "v")
     own = t.withColumns({"i": F.col("blk"), "j": F.col("blk"), "label": F.col("v")}).withColumn("unit", _unit(F.col("blocks") == 1, units))
     links = staged(_linked(own.drop("blocks")), "links")
-    large = t.where("blocks > 1")
-    if large.isEmpty():
+    if place.where("blocks > 1").isEmpty():
         return links
+    large = staged(sets.join(place.where("blocks > 1"), "v"), "large")
     for first in (True, False):  # the first block meets the others; then whatever is not connected yet
         label = connected_components(links)
         x = large.join(label.select(F.col("node").alias("v"), F.col("component").alias("label")), "v", "left").withColumn("label", F.coalesce("label", "v"))
