@@ -46,11 +46,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: With it Spark drops a query's shuffle files at the query's end, not when the driver's collector finds them unreachable.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage, survives lost executors.
+
+    The shuffles behind the written table are dropped at once; the session's own setting holds again afterwards.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
