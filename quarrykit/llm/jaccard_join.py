@@ -160,18 +160,19 @@ def _ordered(sets: DataFrame, buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            block = batch.column(0)
             parts = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column(2)]
             if not parts:
                 continue
-            tokens = np.concatenate(parts)
-            owner = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32), [len(p) for p in parts])
+            tokens, lengths = np.concatenate(parts), [len(p) for p in parts]
+            # a scan task may read several files, so a batch may hold rows of several blocks
+            block = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)
+            owner = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32), lengths)
             bucket = (tokens // np.uint64(step)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
+            order = np.lexsort((bucket, block))
+            tokens, owner, block, bucket = tokens[order], owner[order], block[order], bucket[order]
+            at = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
             for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
-                yield _rows(bucket=pa.array([int(bucket[a])], pa.int32()), block=block.slice(0, 1), owner=pa.array([owner[a:b].tobytes()], pa.binary()), tokens=pa.array([tokens[a:b].tobytes()], pa.binary()))
+                yield _rows(bucket=pa.array([int(bucket[a])], pa.int32()), block=pa.array([int(block[a])], pa.int32()), owner=pa.array([owner[a:b].tobytes()], pa.binary()), tokens=pa.array([tokens[a:b].tobytes()], pa.binary()))
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
         sizes = [len(o) // 4 for o in part["owner"]]

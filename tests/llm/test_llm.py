@@ -146,6 +146,27 @@ def test_jaccard_components(spark, nothing, monkeypatch, load):
         assert jaccard_join.jaccard_components(nothing).count() == 0
 
 
+def test_jaccard_components_over_many_small_files(spark):
+    """The staged sets lie in more files than there are cores, so a scan task reads several of them."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(160):
+        words = [f"m{i % 40}x{k}" for k in range(40)]
+        if i >= 40:
+            words[int(rng.integers(40))] = f"o{i}"
+        rows.append((i, " ".join(words)))
+    own = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        got = jaccard_join.jaccard_components(table_of(spark, rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert Counter(tuple(r) for r in got) == brute_components(rows)
+
+
 def test_shingles():
     for _, t in ODD:
         assert len(shingles.shingle_set(t)) == len(brute_sets(t))
