@@ -116,11 +116,23 @@ def task_list(spark: S, sf: str) -> DataFrame:
 
 @query("SELECT label, sha256('model:' || string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS cache_key, count(*) AS n FROM embeddings WHERE vec_id % 4 = 0 GROUP BY label")
 def shard_cache_key(spark: S, sf: str) -> DataFrame:
-    """A shard's name from its ordered ids; a shard is bounded by its range size."""
+    """A label's name from its ordered ids, over the quarter of the ids that its SQL takes; ``shard_range_keys`` is over all of them."""
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",")
     return table(spark, sf, "embeddings").where("vec_id % 4 = 0").groupBy("label").agg(F.sha2(F.concat(F.lit("model:"), ids), 256).alias("cache_key"), n_rows().alias("n"))
 
 
+def shard_keys(v: DataFrame, size: int) -> DataFrame:
+    """(label, shard, cache_key, n): each row of ``v`` is in the shard of its label and range of ``size`` ids, named by the shard's ordered ids."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",")
+    return v.groupBy("label", F.floor(F.col("vec_id") / size).alias("shard")).agg(F.sha2(F.concat(F.lit("model:"), ids), 256).alias("cache_key"), n_rows().alias("n"))
+
+
+@query("SELECT label, vec_id // 4096 AS shard, sha256('model:' || string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS cache_key, count(*) AS n FROM embeddings GROUP BY label, vec_id // 4096")
+def shard_range_keys(spark: S, sf: str) -> DataFrame:
+    """Every embedding is in one key, and a key is over 4096 ids at most."""
+    return shard_keys(table(spark, sf, "embeddings"), 4096)
+
+
 @query("SELECT batch, n_items, ceil(256.0 / batch)::BIGINT * batch AS flush, ceil(n_items / (ceil(256.0 / batch) * batch))::BIGINT AS commits FROM (VALUES (64, 100000), (300, 100000), (256, 1000), (1, 10)) t(batch, n_items)")
 def write_schedule(spark: S, sf: str) -> DataFrame:
     t = spark.createDataFrame([(64, 100000), (300, 100000), (256, 1000), (1, 10)], "batch int, n_items int")

@@ -169,7 +169,7 @@ def cluster_tree(spark: S, sf: str) -> DataFrame:
 
 @query("SELECT label AS parent, vec_id AS leaf, row_number() OVER (ORDER BY rn, label) AS place FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE vec_id % 10 = 0)")
 def leaf_round_robin(spark: S, sf: str) -> DataFrame:
-    """Children's leaf lists interleaved: first leaves of every parent, then second ones. Leaves are a tree's nodes, few beside its members."""
+    """Children's leaf lists interleaved: first leaves of every parent, then second ones. Its SQL takes a tenth of the ids as leaves; ``leaf_round_robin_all`` takes all."""
     t = table(spark, sf, "embeddings").where("vec_id % 10 = 0").select(F.col("label").alias("parent"), F.col("vec_id").alias("leaf"))
     t = t.withColumn("rn", F.row_number().over(Window.partitionBy("parent").orderBy("leaf")))
     width = t.groupBy("rn").agg(n_rows().alias("k"))
@@ -178,6 +178,20 @@ def leaf_round_robin(spark: S, sf: str) -> DataFrame:
     return t.select("parent", "leaf", (F.col("base") + F.col("nth")).cast("long").alias("place"))
 
 
+def round_robin(t: DataFrame) -> DataFrame:
+    """(parent, leaf, place) of every row (parent, leaf) of ``t``, parents' lists interleaved. Before a parent's k-th leaf come at most k - 1 of every parent, and the k-th of lesser parents: sizes (a row for each parent) are all that travels."""
+    sizes = t.groupBy("parent").agg(n_rows().alias("n")).agg(F.collect_list(F.struct("parent", "n")).alias("sizes"))
+    t = t.withColumn("k", F.row_number().over(Window.partitionBy("parent").orderBy("leaf")).cast("long")).join(F.broadcast(sizes))
+    place = F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + F.least(x["n"], F.col("k") - F.when(x["parent"] <= F.col("parent"), 0).otherwise(1)))
+    return t.select("parent", "leaf", place.alias("place"))
+
+
+@query("SELECT label AS parent, vec_id AS leaf, row_number() OVER (ORDER BY rn, label) AS place FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)")
+def leaf_round_robin_all(spark: S, sf: str) -> DataFrame:
+    """Every embedding is a leaf of its label."""
+    return round_robin(table(spark, sf, "embeddings").select(F.col("label").alias("parent"), F.col("vec_id").alias("leaf")))
+
+
 @query("SELECT sample_id, scope FROM samples WHERE state = 'valid' AND sample_id NOT IN (SELECT sample_id FROM evidence WHERE code = 'ai_generated' AND value >= 0.5) AND (sample_id NOT IN (SELECT sample_id FROM evidence WHERE code = 'style' AND severity = 'high') OR sample_id IN (SELECT sample_id FROM overlay WHERE decision = 'approved_keep'))")
 def clustering_inputs(spark: S, sf: str) -> DataFrame:
     e = evidence(spark, sf)

@@ -1,5 +1,8 @@
 """Golden cases and properties of single operators."""
 
+import hashlib
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +11,9 @@ from quarrykit.operators.dedupe import near_hash_pairs
 from quarrykit.operators.evidence import UNSAFE
 from quarrykit.operators.export import compare_trees
 from quarrykit.operators.graph import connected_components
-from quarrykit.operators.incremental import merge_rescan
+from quarrykit.operators.incremental import merge_rescan, shard_keys
 from quarrykit.operators.registry import model, register_model
-from quarrykit.operators.vector import allocate_quota, pick_diverse, spherical_tree
+from quarrykit.operators.vector import allocate_quota, pick_diverse, round_robin, spherical_tree
 from quarrykit.streaming.tail import commit_batches, tail, window_counts
 
 
@@ -92,6 +95,23 @@ def test_trees(spark):
     assert {tuple(r) for r in compare_trees(a, b).collect()} == {("p", "missing"), ("q", "changed"), ("r", "extra")}
 
 
+def test_every_id_is_in_a_shard_key(spark):
+    rows = [(i, i % 3) for i in range(100)]
+    got = {(r["label"], r["shard"]): (r["cache_key"], r["n"]) for r in shard_keys(spark.createDataFrame(rows, "vec_id long, label int"), 16).collect()}
+    want = defaultdict(list)
+    for i, label in rows:
+        want[label, i // 16].append(str(i))
+    assert got == {k: (hashlib.sha256(("model:" + ",".join(ids)).encode()).hexdigest(), len(ids)) for k, ids in want.items()}
+
+
+def test_every_leaf_has_its_turn(spark):
+    queues = {p: [10 * i + p for i in range(n)] for p, n in ((1, 4), (2, 1), (5, 7))}
+    t = spark.createDataFrame([(p, x) for p, q in queues.items() for x in q], "parent int, leaf long")
+    got = [(r["parent"], r["leaf"]) for r in sorted(round_robin(t).collect(), key=lambda r: r["place"])]
+    want = [(p, queues[p][k]) for k in range(7) for p in queues if k < len(queues[p])]
+    assert got == want and [r["place"] for r in round_robin(t).orderBy("place").collect()] == list(range(1, 13))
+
+
 def test_unsafe_paths(spark):
     t = spark.createDataFrame([("a/b.png",), ("../a",), ("/a",), ("C:x",), ("a\\b",), ("a/../b",), ("a..b",)], "p string")
     assert [r["x"] for r in t.select(F.col("p").rlike(UNSAFE).alias("x")).collect()] == [False, True, True, True, True, True, False]
