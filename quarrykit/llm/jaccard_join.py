@@ -40,7 +40,8 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def _infos(docs: DataFrame) -> DataFrame:
-    """(id, cls, half, n, s): each document's class, the first half of its key, set size, and shingles in the counted part."""
+    """(id, cls, half, n, s): each document's class, the first half of its key, set size, and shingles in the counted part. What follows the text in ``docs`` (id, text, name) is handed on."""
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,9 +50,10 @@ def _infos(docs: DataFrame) -> DataFrame:
             yield _rows(
                 id=batch.column(0), cls=pa.array(keys, pa.binary()), half=pa.array([_half(k) if k else None for k in keys], pa.int64()),
                 n=pa.array([len(s) for s in sets], pa.int64()), s=pa.array([int(np.searchsorted(s, np.uint64(PART))) for s in sets], pa.int64()),
+                **{c: batch.column(2 + k) for k, c in enumerate(more)},
             )
 
-    return docs.mapInArrow(run, "id long, cls binary, half long, n long, s long")
+    return docs.mapInArrow(run, ", ".join(["id long, cls binary, half long, n long, s long", *[f"{c} string" for c in more]]))
 
 
 def _half(key: bytes) -> int:
@@ -266,17 +268,11 @@ def _links(ordered: DataFrame, clusters: DataFrame, units: int) -> DataFrame:
     return links
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included).
-
-    A-Z are lower-cased; words are runs without ASCII white space. Texts without a word (null, empty, blank) have an empty set and are
-    linked with nothing: their component is their own id. Equal sets are always linked, so repeated rows and ids share a component. A component of
-    null ids only has a null component_id. An empty table gives no rows. Other columns are not read.
-    """
-    spark = docs.sparkSession
-    t = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets = 2 * width(spark)
+def _components(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``t`` (id, text, and a name if wanted): its infos, its classes, and (cls, component, rep) of the classes that have a link."""
+    buckets = 2 * width(t.sparkSession)
     infos = staged(_infos(t), "infos")
+    t = t.select("id", "text")
     classes = infos.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("half").alias("half"), F.max("n").alias("n"), F.max("s").alias("s"))
     shared = _shared_counts(t, buckets)
     hopeful = classes.join(shared, "half", "left").where(5 * (F.col("s") - F.coalesce("shared", F.lit(0))) <= F.col("n")).select("cls", "rep")
@@ -284,7 +280,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ordered = _ordered(_survivor_sets(t, hopeful), buckets)
     links = _links(ordered, _clusters(ordered), 2 * buckets)
     comp = connected_components(links).withColumnsRenamed({"node": "v"})
-    linked = comp.join(ordered.select("v", "cls"), "v").join(classes.select("cls", "rep"), "cls").select("cls", "component", "rep")
+    return infos, classes, comp.join(ordered.select("v", "cls"), "v").join(classes.select("cls", "rep"), "cls").select("cls", "component", "rep")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included).
+
+    A-Z are lower-cased; words are runs without ASCII white space. Texts without a word (null, empty, blank) have an empty set and are
+    linked with nothing: their component is their own id. Equal sets are always linked, so repeated rows and ids share a component. A component of
+    null ids only has a null component_id. An empty table gives no rows. Other columns are not read.
+    """
+    infos, classes, linked = _components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
     to = linked.join(least, "component").select("cls", "least")
     full = classes.select("cls", "rep").join(to, "cls", "left").select(F.col("cls").alias("c"), F.coalesce("least", "rep").alias("component_id"))
@@ -294,10 +300,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component with all its columns: that of the smallest id (a component of null ids: one of them). Of rows that repeat an id, one."""
-    found = jaccard_components(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    """One document of each component with all its columns: that of the smallest id; a null id is larger than every other.
+
+    The document is found by id and text, so ids may repeat or be null: rows without links stay. Of rows of one component that share
+    its smallest id, one stays. Texts without a word are linked with nothing, and all of them stay.
+    """
+    name = F.md5(F.col(text_col))
+    infos, _, linked = _components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), name.alias("name")))
+    t = infos.where("n > 0").select("cls", "id", "name").join(linked.select(F.col("cls").alias("c"), "component"), F.col("cls") == F.col("c"), "left")
+    # a class without links is a component of its own
+    t = t.withColumn("own", F.when(F.col("component").isNull(), F.col("cls")))
+    keep = t.groupBy("component", "own").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name")).alias("k")).select(F.col("k.id").alias("_keep"), F.col("k.name").alias("_kname"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(*own))
-    return kept.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").drop("_nth")
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    some = docs.where(worded).withColumn("_name", name)
+    some = some.join(keep, some[id_col].cast("long").eqNullSafe(F.col("_keep")) & (F.col("_name") == F.col("_kname")), "left_semi")
+    one = Window.partitionBy(F.col(id_col), "_name").orderBy(F.xxhash64(*own))
+    some = some.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*own)
+    return some.unionByName(docs.where(~worded))

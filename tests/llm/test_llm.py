@@ -167,6 +167,17 @@ def test_jaccard_components_over_many_small_files(spark):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+def test_near_copies_without_unique_ids(spark):
+    """Rows without links stay whatever their id, and of each component one row stays."""
+    text = lambda k, n=40: " ".join(f"q{k}x{j}" for j in range(n))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(4, 41)), (5, text(5)), (5, text(6)), (4, text(6, 41)), (None, text(5, 41)), (None, ""), (8, " "), (None, "\u2028")]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.drop_near_copies(table_of(spark, rows)).collect())
+    both = [(7, text(4)), (7, text(4, 41))]  # a component of rows that share their id: either stays
+    assert sum(got[r] for r in both) == 1
+    gone = {*both, (5, text(6)), (None, text(5, 41))}
+    assert Counter({r: n for r, n in got.items() if r not in both}) == Counter(r for r in rows if r not in gone)
+
+
 def test_shingles():
     for _, t in ODD:
         assert len(shingles.shingle_set(t)) == len(brute_sets(t))
