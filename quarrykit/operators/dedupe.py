@@ -70,7 +70,8 @@ def hamming(a: Column, b: Column) -> Column:
 def near_hash_pairs(h: DataFrame) -> DataFrame:
     """Pairs within 8 bits: of nine bands one is equal at least, so an equi-join on (band, value) misses none.
 
-    Equal hashes are one node of the join, so a hash that many samples share joins once. A pair is taken at its first equal band.
+    Equal hashes are one node of the join, so a hash that many samples share joins once; ``hash_members`` has the samples behind it.
+    A pair is taken at its first equal band.
     """
     one = h.groupBy("p", "c").agg(F.min("sample_id").alias("rep"))
     band = one.select("rep", "p", "c", F.posexplode("p").alias("band", "value"))
@@ -81,14 +82,34 @@ def near_hash_pairs(h: DataFrame) -> DataFrame:
     return near.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), "distance")
 
 
+def hash_members(h: DataFrame) -> DataFrame:
+    """(rep, sample_id): each sample with the least one of equal hashes."""
+    return h.join(h.groupBy("p", "c").agg(F.min("sample_id").alias("rep")), ["p", "c"]).select("rep", "sample_id")
+
+
+def visual_edges(h: DataFrame) -> DataFrame:
+    """(a, b) that connect all samples near each other: near representatives, and each of them with its copies."""
+    copies = hash_members(h).where("rep <> sample_id").select(F.col("rep").alias("a"), F.col("sample_id").alias("b"))
+    return near_hash_pairs(h).select("a", "b").unionByName(copies)
+
+
+def all_near_pairs(h: DataFrame) -> DataFrame:
+    """(a, b, distance) of all pairs of samples within 8 bits, copies too: as many rows as there are such pairs."""
+    m = hash_members(h)
+    x, y = m.select(F.col("rep").alias("a"), F.col("sample_id").alias("s")), m.select(F.col("rep").alias("b"), F.col("sample_id").alias("t"))
+    near = near_hash_pairs(h).join(x, "a").join(y, "b").select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), "distance")
+    same = x.join(y, x["a"] == y["b"]).where("s < t").select(F.col("s").alias("a"), F.col("t").alias("b"), F.lit(0).alias("distance"))
+    return near.unionByName(same)
+
+
 @query("WITH " + PAIRS_SQL + " SELECT * FROM pairs")
 def visual_pairs(spark: S, sf: str) -> DataFrame:
-    return near_hash_pairs(hashes(spark, sf))
+    return all_near_pairs(hashes(spark, sf))
 
 
 @query("WITH RECURSIVE " + PAIRS_SQL + ", e AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs), r AS (SELECT a AS n, a AS m FROM e UNION SELECT e.a, r.m FROM e JOIN r ON e.b = r.n) SELECT n AS sample_id, min(m) AS component FROM r GROUP BY n")
 def dup_visual(spark: S, sf: str) -> DataFrame:
-    return connected_components(near_hash_pairs(hashes(spark, sf)).select("a", "b")).select(F.col("node").alias("sample_id"), "component")
+    return connected_components(visual_edges(hashes(spark, sf))).select(F.col("node").alias("sample_id"), "component")
 
 
 SEM_SQL = "semantic AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) AS score FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) >= 0.35)"
@@ -158,7 +179,7 @@ def duplicate_components(spark: S, sf: str) -> DataFrame:
     s = samples(spark, sf)
     least = s.groupBy("sha").agg(F.min("sample_id").alias("b"))
     exact = s.select(F.col("sample_id").alias("a"), "sha").join(least, "sha").where("a <> b").select("a", "b")
-    visual = near_hash_pairs(hashes(spark, sf)).select("a", "b")
+    visual = visual_edges(hashes(spark, sf))
     return connected_components(exact.unionByName(visual)).select(F.col("node").alias("sample_id"), "component")
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarrykit.operators import dedupe
 from quarrykit.operators.dedupe import near_hash_pairs
 from quarrykit.operators.evidence import UNSAFE
 from quarrykit.operators.export import compare_trees
@@ -58,6 +59,19 @@ def test_band_join_finds_all_near_hashes(spark):
     assert got == {(i, j) for i, p in reps for j, q in reps if i < j and apart(p, q) <= 8}
 
 
+def test_equal_hashes_are_duplicates(spark, monkeypatch):
+    p, near, far = [1] * 9, [1] * 8 + [2], [60000] * 9
+    rows = [(1, p, 7), (2, p, 7), (3, near, 7), (4, near, 7), (5, far, 7), (6, far, 7), (8, far, 7), (9, [255 * 7] * 9, 7)]
+    monkeypatch.setattr(dedupe, "hashes", lambda *_: spark.createDataFrame(rows, "sample_id long, p array<long>, c long"))
+    monkeypatch.setattr(dedupe, "samples", lambda *_: spark.createDataFrame([(9, "u"), (10, "u")], "sample_id long, sha string"))
+    groups = {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 8: 5}
+    assert {r["sample_id"]: r["component"] for r in dedupe.dup_visual(spark, "").collect()} == groups
+    assert {r["sample_id"]: r["component"] for r in dedupe.duplicate_components(spark, "").collect()} == groups | {9: 9, 10: 9}
+    apart = lambda x, y: sum((a ^ b).bit_count() for a, b in zip(x, y, strict=True))
+    want = [(i, j, apart(x, y)) for i, x, _ in rows for j, y, _ in rows if i < j and apart(x, y) <= 8]
+    assert sorted(tuple(r) for r in dedupe.visual_pairs(spark, "").collect()) == sorted(want) and len(want) == 9
+
+
 @pytest.mark.parametrize(("sizes", "target", "want"), [({"a": 100, "b": 25, "c": 4}, 9, None), ({"b": 25, "c": 4, "a": 100}, 2, {"b": 1, "c": 1, "a": 0})])
 def test_quota(sizes, target, want):
     got = allocate_quota(sizes, target)
