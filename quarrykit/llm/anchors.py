@@ -30,7 +30,9 @@ KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 SECRET = re.compile(r"(?:password|passwd|token|secret|api_key|apikey)\x20?[=:]\x20?[\"']?([A-Za-z0-9_+/.-]{8,})", re.I)
 URL = re.compile(r"://[^\s<>\"']+")
 DIGITS = "0123456789"
-CUES = {"://": "url", "AKIA": "key"} | {c: "secret" for w in ("password", "passwd", "token", "secret", "api_key", "apikey") for c in (w, w.capitalize(), w.upper())} | {c: "account" for w in ("account", "acct") for c in (w, w.capitalize(), w.upper())} | {c: "iban" for c in ("iban", "Iban", "IBAN")}
+#: Cues are looked for in the text with A-Z lower-cased, which leaves every place as it is.
+CUES = {"://": "url", "akia": "key"} | dict.fromkeys(("password", "passwd", "token", "secret", "api_key", "apikey"), "secret") | dict.fromkeys(("account", "acct"), "account") | {"iban": "iban"}
+LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 
 _AUTOMATON = None
@@ -78,7 +80,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     end = dict.fromkeys((*KINDS, "run"), 0)  # behind the last match of each kind, dropped ones too
-    for last, (kind, size) in automaton().iter(text):
+    for last, (kind, size) in automaton().iter(text.translate(LOWER)):
         at = last + 1 - size
         if kind == "digit":
             if at >= end["card"] and (m := CARD.match(text, at)):
@@ -88,7 +90,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                     out["card"].append(m.span())
             if at >= end["ip"] and at >= end["run"] and (m := IP.match(text, at)):
                 end["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+                parts = [p.lstrip("0") for p in m.group().split(".")]
+                if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
                     out["ip"].append(m.span())
             if at >= end["run"]:  # a run of digits is tried from its first digit only
                 stop = at + 1
@@ -141,7 +144,11 @@ def _cue(kind: str, text: str, at: int, out: dict, end: dict) -> None:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id and spans (array of kind, start, end). Each row is read by itself: repeated ids give repeated rows."""
+    """One row per document: doc_id and spans (array of kind, start, end).
+
+    Null and empty texts have no spans. Each row is read by itself: repeated ids and null ids give rows like others. An empty table gives no
+    rows. Columns other than id and text are not read, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

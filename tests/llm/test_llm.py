@@ -240,7 +240,7 @@ def brute_pii(t):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
         out.append(("email", *m.span()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t):
-        if all(int(p) <= 255 for p in m.group().split(".")):
+        if all(int(p.lstrip("0")[:9] or 0) <= 255 for p in m.group().split(".")):
             out.append(("ip", *m.span()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
         if 16 <= len(digits(m.group())) <= 19 and anchors.luhn(digits(m.group())):
@@ -259,6 +259,23 @@ def test_pii_matches_the_patterns():
         assert [s for s in anchors.find_spans(t) if s[0] in anchors.BASE] == brute_pii(t), t
 
 
+def test_pii_with_long_runs_of_digits():
+    """Base kinds as the patterns say, also for parts that are too long to be read as one number."""
+    rng = np.random.default_rng(5)
+    texts = ["0" * 5000 + "1.1.1.1", "1.1.1." + "0" * 6000 + "255", "9" * 5000 + ".1.1.1", "4" * 16 + "0" * 5000, "+" + "1" * 5000]
+    parts = ["0" * 4400, "1" * 4500, ".", "1", "255", " ", "-", "+", "@", "a.b"]
+    texts += ["".join(rng.choice(parts, int(rng.integers(2, 9)))) for _ in range(25)]
+    for t in texts:
+        assert [s for s in anchors.find_spans(t) if s[0] in anchors.BASE] == brute_pii(t), t[:80]
+
+
+def test_pii_cues_in_any_case(nothing):
+    for cue in ("password", "PassWord", "pASSWORD", "API_Key", "Token"):
+        assert [s[0] for s in anchors.find_spans(f"{cue}=abc12345x")] == ["secret"], cue
+    assert [s[0] for s in anchors.find_spans("aCcOuNt no: 123456789")] == ["account"]
+    assert anchors.span_digests(anchors.find_pii(nothing)).count() == 0
+
+
 def test_pii(odd):
     rows = {(r["doc_id"], r["base_sha256"]): r for r in anchors.span_digests(anchors.find_pii(odd)).collect()}
     assert all((i, anchors.digest_of(brute_pii(t))) in rows for i, t in ODD)
