@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.plans.storage import staged
+from quarrykit.plans.storage import discard, staged
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -29,13 +29,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b; any orderable type); the component is its smallest node.
 
-    Loops and rows with a null are passed over. Each round is written to the shared folder; a hub costs no task more than its
+    Loops and rows with a null are passed over. Each round is written to the shared folder, and the one before it removed; a hub costs no task more than its
     share, since minima are combined before the shuffle and joins can be split. Rounds grow with the logarithm of the longest path.
     """
     now = edges.select("a", "b").where("a <> b").distinct()
     now, seen = staged(now, "edges"), None
     for _ in range(most_rounds):
-        now = staged(_small_star(_large_star(now)), "edges")
+        before, now = now, staged(_small_star(_large_star(now)), "edges")
+        discard(before)
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == seen:
             break

@@ -63,7 +63,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarrykit_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``staged`` wrote, once everything that reads them is written itself."""
+    for t in tables:
+        _remove(t.sparkSession, t._quarrykit_path)
 
 
 def width(spark: SparkSession) -> int:
