@@ -6,10 +6,15 @@
 3. The sets of the classes left are counted in full. Rarest first is the global order; two linked sets share a shingle among
    their first n // 5 + 1. Classes that share one (over any chain) form a cluster: no link leaves it.
 4. Each cluster goes to one task, whose trie finds its components. A cluster of more than a task's load is cut in blocks: each block joins
-   itself, then the first block meets the others, and only blocks that hold several components still meet one another, pair by pair.
+   itself, then the first block meets the others; of what is not connected then, a class goes only to those blocks that hold a class of
+   another component with a prefix shingle in common.
 5. Links become components over all; a class hands its component to its documents.
 
-What is shuffled by shingle travels as packed number blocks, so a shingle that a third of all documents hold is a run in an array and not a row each.
+What is shuffled by shingle travels as packed number blocks, and a shingle that many documents of a batch hold is sent once for all of them. Buckets, blocks
+and units are as many as keep each within MOST or LOAD shingles, whatever the size of the corpus.
+
+Shingles are told apart by 64-bit numbers and classes by 128-bit keys (see ``shingles``): a pair of documents is judged wrongly only if
+two different shingles of theirs share a number, a chance under n * m / 2 ** 64 for sets of n and m.
 """
 
 from __future__ import annotations
@@ -22,15 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrykit.llm.shingles import set_key, shingle_set
+from quarrykit.llm.shingles import shingle_set_and_key
 from quarrykit.llm.trie_join import join_components
 from quarrykit.operators.graph import connected_components
-from quarrykit.plans.storage import staged, width
+from quarrykit.plans.storage import discard, staged, width
 
 #: The part of the number space whose shingles are counted in step 2. Any part is exact; a larger one drops more classes early and ships more.
 PART = int(0.4 * 2**64)
 #: Shingles of one task's block of a cluster.
 LOAD = 300_000
+#: Shingles that one bucket's count or one block of sets takes into memory at once; there are as many buckets and blocks as that asks for.
+MOST = 2_000_000
+#: Buckets of the number space at least, whatever the cluster's width: what a bucket sends back follows the number of buckets.
+BUCKETS = 64
 #: Bits of the filter of survivors' ids: 16 for each, and no more than 2 ** 29 (64 MB) for any number of them.
 LEAST_BITS, MOST_BITS, BITS_EACH = 2**15, 2**29, 16
 
@@ -40,71 +49,105 @@ def _rows(**columns) -> pa.RecordBatch:
 
 
 def _infos(docs: DataFrame) -> DataFrame:
-    """(id, cls, half, n, s): each document's class, the first half of its key, set size, and shingles in the counted part. What follows the text in ``docs`` (id, text, name) is handed on."""
+    """(id, cls, n, s): each document's class, set size, and shingles in the counted part. What follows the text in ``docs`` (id, text, name) is handed on."""
     more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
-            keys = [set_key(s) if len(s) else None for s in sets]
-            yield _rows(
-                id=batch.column(0), cls=pa.array(keys, pa.binary()), half=pa.array([_half(k) if k else None for k in keys], pa.int64()),
-                n=pa.array([len(s) for s in sets], pa.int64()), s=pa.array([int(np.searchsorted(s, np.uint64(PART))) for s in sets], pa.int64()),
-                **{c: batch.column(2 + k) for k, c in enumerate(more)},
-            )
+            keys, n, s = [], [], []
+            for t in batch.column(1):
+                shingles, key = shingle_set_and_key(t.as_py())
+                keys.append(key)
+                n.append(len(shingles))
+                s.append(int(np.searchsorted(shingles, np.uint64(PART))))
+            yield _rows(id=batch.column(0), cls=pa.array(keys, pa.binary()), n=pa.array(n, pa.int64()), s=pa.array(s, pa.int64()), **{c: batch.column(2 + k) for k, c in enumerate(more)})
+
+    return docs.mapInArrow(run, ", ".join(["id long, cls binary, n long, s long", *[f"{c} string" for c in more]]))
 
-    return docs.mapInArrow(run, ", ".join(["id long, cls binary, half long, n long, s long", *[f"{c} string" for c in more]]))
 
+def _runs(new: np.ndarray) -> np.ndarray:
+    """Number of the run each place is in, from the places where runs begin."""
+    return np.cumsum(new) - 1
 
-def _half(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(half, shared): for each class with any, how many of its shingles in the counted part another class has too.
+    """(cls, shared): for each class with any, how many of its shingles in the counted part another class has too, or more.
 
-    A shingle travels with the first half of its class's key: 16 bytes each, whatever the number of buckets. Only two
-    linked classes with the same half, a chance of 2 ** -64 as for two shingles with the same hash, could lose their link.
+    Within a batch of rows a shingle of several classes is settled at once: it travels as four bytes without its classes, so a
+    shingle that a third of all documents hold is sent once a batch. Others travel with their class's key. More than there are may be counted (a
+    class with copies in several batches; different shingles with the same 32 bits within a bucket): that keeps a class in, and loses none.
     """
     step = PART // buckets + 1
+    shift = np.uint64(max(0, step.bit_length() - 32))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        from pyspark import TaskContext
+
+        own_bucket = -1 - (TaskContext.get().partitionId() << 24)  # what a batch settles is a group of its own
+        for nth, batch in enumerate(batches):
             seen: dict[bytes, np.ndarray] = {}
-            for t in batch.column(1):
-                s = shingle_set(t.as_py())
-                if len(s):
-                    seen.setdefault(set_key(s), s[: np.searchsorted(s, np.uint64(PART))])
-            if not seen:
+            for t in batch.column(0):
+                s, key = shingle_set_and_key(t.as_py())
+                if key:
+                    seen.setdefault(key, s[: np.searchsorted(s, np.uint64(PART))])
+            tokens = np.concatenate([*seen.values(), np.zeros(0, np.uint64)])
+            if not len(tokens):
                 continue
-            sizes = [len(s) for s in seen.values()]
-            tokens = np.concatenate(list(seen.values()))
-            owner = np.repeat(np.arange(len(seen), dtype=np.uint32), sizes)
+            keys = np.frombuffer(b"".join(seen), "V16")
+            owner = np.repeat(np.arange(len(seen), dtype=np.int32), [len(s) for s in seen.values()])
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], owner[order]
+            first = _begins(tokens)
+            run = _runs(first)
+            several = np.bincount(run) > 1
+            local = np.bincount(owner[several[run]], minlength=len(seen))
+            hit = np.flatnonzero(local)
+            yield _rows(bucket=[own_bucket - nth], tokens=pa.array([local[hit].astype(np.int64).tobytes()], pa.binary()), owner=pa.array([keys[hit].tobytes()], pa.binary()), many=pa.array([b""], pa.binary()))
+            tokens, owner = tokens[first], owner[first]
             bucket = (tokens // np.uint64(step)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            tokens, owner, bucket = tokens[order], owner[order], bucket[order]
-            keys = np.array([_half(k) for k in seen], np.int64)
-            at = np.flatnonzero(np.diff(bucket, prepend=-1))
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
-                yield _rows(bucket=pa.array([int(bucket[a])], pa.int32()), tokens=pa.array([tokens[a:b].tobytes()], pa.binary()), owner=pa.array([keys[owner[a:b]].tobytes()], pa.binary()))
+            short = ((tokens - bucket.astype(np.uint64) * np.uint64(step)) >> shift).astype(np.uint32)
+            at = np.flatnonzero(_begins(bucket))
+            for a, b in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True):
+                m = several[a:b]
+                yield _rows(bucket=[int(bucket[a])], tokens=pa.array([short[a:b][~m].tobytes()], pa.binary()), owner=pa.array([keys[owner[a:b][~m]].tobytes()], pa.binary()), many=pa.array([short[a:b][m].tobytes()], pa.binary()))
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        owner = np.concatenate([np.frombuffer(o, np.int64) for o in part["owner"]])
-        tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in part["tokens"]])
-        flat, owner = np.unique(owner, return_inverse=True)
-        order = np.lexsort((owner, tokens))
-        owner, tokens = owner[order], tokens[order]
-        new_token = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        new = new_token.copy()
-        new[1:] |= owner[1:] != owner[:-1]
-        owner, run = owner[new], np.cumsum(new_token)[new] - 1
-        held = np.bincount(run)[run] > 1
-        shared = np.bincount(owner[held], minlength=len(flat))
-        hit = np.flatnonzero(shared)
-        return pd.DataFrame({"half": flat[hit], "shared": shared[hit].astype(np.int64)})
-
-    dealt = docs.mapInArrow(deal, "bucket int, tokens binary, owner binary")
-    return dealt.groupBy("bucket").applyInPandas(count, "half long, shared long").groupBy("half").agg(F.sum("shared").alias("shared"))
+        if part["bucket"].iloc[0] < 0:  # what a batch has settled
+            return pd.DataFrame({"cls": [k for o in part["owner"] for k in _cut(o)], "shared": np.concatenate([np.frombuffer(t, np.int64) for t in part["tokens"]])})
+        tokens = np.concatenate([np.frombuffer(t, np.uint32) for t in part["tokens"]])
+        many = np.unique(np.concatenate([np.frombuffer(t, np.uint32) for t in part["many"]]))
+        raw = b"".join(part["owner"])
+        high, low = np.frombuffer(raw, np.uint64).reshape(-1, 2).T
+        order = np.argsort(tokens.astype(np.uint64) << np.uint64(32) | high >> np.uint64(32))
+        tokens, high, low = tokens[order], high[order], low[order]
+        first = _begins(tokens)
+        new = _begins(tokens, high, low)
+        run = _runs(first)
+        held = np.bincount(run, new)[run] > 1 if len(run) else np.zeros(0, bool)
+        if len(many):
+            held |= many[np.minimum(np.searchsorted(many, tokens), len(many) - 1)] == tokens
+        held &= new
+        high, low = high[held], low[held]
+        order = np.lexsort((low, high))
+        high, low = high[order], low[order]
+        own = _begins(high, low)
+        return pd.DataFrame({"cls": _cut(np.stack([high[own], low[own]], 1).tobytes()), "shared": np.bincount(_runs(own), minlength=int(own.sum())).astype(np.int64)})
+
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, tokens binary, owner binary, many binary")
+    return dealt.groupBy("bucket").applyInPandas(count, "cls binary, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
+
+
+def _cut(keys: bytes) -> list[bytes]:
+    return [keys[a : a + 16] for a in range(0, len(keys), 16)]
 
 
 def _id_filter(survivors: DataFrame) -> tuple[int, bytes]:
@@ -135,81 +178,93 @@ def _survivor_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
             found: dict[bytes, np.ndarray] = {}
             p = batch.column(0).to_numpy(zero_copy_only=False)
             for i in np.flatnonzero((held[p >> 3] >> (p & 7).astype(np.uint8)) & 1).tolist():
-                s = shingle_set(batch.column(1)[i].as_py())
-                if len(s):
-                    found.setdefault(set_key(s), s)
+                s, key = shingle_set_and_key(batch.column(1)[i].as_py())
+                if key:
+                    found.setdefault(key, s)
             yield _rows(cls=pa.array(list(found), pa.binary()), tokens=pa.array([s.tobytes() for s in found.values()], pa.binary()))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, at = TaskContext.get().partitionId(), 0
+        block, at, have = TaskContext.get().partitionId() << 16, 0, 0
         for batch in batches:
-            n = batch.num_rows
             lengths = [len(t.as_py()) // 8 for t in batch.column(1)]
-            yield _rows(block=pa.array([block] * n, pa.int32()), at=pa.array(range(at, at + n), pa.int32()), cls=batch.column(0), n=pa.array(lengths, pa.int64()), tokens=batch.column(1))
-            at += n
+            blocks, places = [], []
+            for n in lengths:
+                if have and have + n > MOST:
+                    block, at, have = block + 1, 0, 0
+                blocks.append(block)
+                places.append(at)
+                at, have = at + 1, have + n
+            yield _rows(block=pa.array(blocks, pa.int64()), at=pa.array(places, pa.int64()), cls=batch.column(0), n=pa.array(lengths, pa.int64()), tokens=batch.column(1))
 
     rows = docs.select(F.pmod(F.xxhash64("id"), F.lit(bits)).alias("p"), "text").mapInArrow(sets, "cls binary, tokens binary")
     # survivors grow with the corpus, so they are never broadcast
     rows = rows.join(survivors.select("cls").hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "tokens")
-    return staged(rows.mapInArrow(number, "block int, at int, cls binary, n long, tokens binary"), "sets")
+    return staged(rows.mapInArrow(number, "block long, at long, cls binary, n long, tokens binary"), "sets")
 
 
-def _ordered(sets: DataFrame, buckets: int) -> DataFrame:
-    """(v, cls, n, prefix, body): of each class that can still link, the shingles another class has too; the rarest ones of its prefix apart."""
+def _ordered(sets: DataFrame) -> DataFrame:
+    """(v, cls, n, prefix, body): of each class that can still link, the shingles another class has too; the rarest ones of its prefix apart.
+
+    A block sends each of its shingles once a batch, with its count there, and gets those back that more than one class holds, so a shingle
+    of all classes is sent as often as there are batches.
+    """
+    buckets = _parts(sets, "n", BUCKETS, MOST)
     step = 2**64 // buckets + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [np.frombuffer(t.as_py(), np.uint64) for t in batch.column(2)]
-            if not parts:
-                continue
-            tokens, lengths = np.concatenate(parts), [len(p) for p in parts]
-            # a scan task may read several files, so a batch may hold rows of several blocks
-            block = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), lengths)
-            owner = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32), lengths)
-            bucket = (tokens // np.uint64(step)).astype(np.int64)
-            order = np.lexsort((bucket, block))
-            tokens, owner, block, bucket = tokens[order], owner[order], block[order], bucket[order]
-            at = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(bucket, prepend=-1) != 0))
-            for a, b in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
-                yield _rows(bucket=pa.array([int(bucket[a])], pa.int32()), block=pa.array([int(block[a])], pa.int32()), owner=pa.array([owner[a:b].tobytes()], pa.binary()), tokens=pa.array([tokens[a:b].tobytes()], pa.binary()))
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            for mine in np.unique(block).tolist():  # a scan task may read several files, so a batch may hold rows of several blocks
+                parts = [np.frombuffer(batch.column(1)[i].as_py(), np.uint64) for i in np.flatnonzero(block == mine).tolist()]
+                tokens, times = np.unique(np.concatenate(parts), return_counts=True)
+                bucket = (tokens // np.uint64(step)).astype(np.int64)
+                at = np.flatnonzero(_begins(bucket))
+                for a, b in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist(), strict=True):
+                    yield _rows(bucket=[int(bucket[a])], block=[mine], tokens=pa.array([tokens[a:b].tobytes()], pa.binary()), times=pa.array([times[a:b].astype(np.uint32).tobytes()], pa.binary()))
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        sizes = [len(o) // 4 for o in part["owner"]]
         tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in part["tokens"]])
-        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-        df = counts[inverse].astype(np.uint32)
+        times = np.concatenate([np.frombuffer(t, np.uint32) for t in part["times"]])
+        _, inverse = np.unique(tokens, return_inverse=True)
+        df = np.bincount(inverse, times)[inverse].astype(np.uint32)
         out, at = [], 0
-        for block, owner, size in zip(part["block"], part["owner"], sizes, strict=True):
-            own, mine = np.frombuffer(owner, np.uint32), slice(at, at + size)
-            held = df[mine] > 1
+        for block, size in zip(part["block"], [len(t) // 8 for t in part["tokens"]], strict=True):
+            mine, held = slice(at, at + size), df[at : at + size] > 1
             if held.any():
-                out.append((block, own[held].tobytes(), tokens[mine][held].tobytes(), df[mine][held].tobytes()))
+                out.append((block, tokens[mine][held].tobytes(), df[mine][held].tobytes()))
             at += size
-        return pd.DataFrame(out, columns=["block", "owner", "tokens", "df"], dtype=object)
+        return pd.DataFrame(out, columns=["block", "tokens", "df"], dtype=object)
 
     def gather(sets_: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame([], columns=["v", "cls", "n", "prefix", "body"], dtype=object)
         if not len(sets_) or not len(back):
-            return pd.DataFrame([], columns=["v", "cls", "n", "prefix", "body"], dtype=object)
-        owner = np.concatenate([np.frombuffer(o, np.uint32) for o in back["owner"]])
-        tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in back["tokens"]])
-        df = np.concatenate([np.frombuffer(d, np.uint32) for d in back["df"]])
+            return none
+        known, at = np.unique(np.concatenate([np.frombuffer(t, np.uint64) for t in back["tokens"]]), return_index=True)
+        df_of = np.concatenate([np.frombuffer(d, np.uint32) for d in back["df"]])[at]
+        tokens = np.concatenate([np.frombuffer(t, np.uint64) for t in sets_["tokens"]])
+        owner = np.repeat(np.arange(len(sets_)), sets_["n"].to_numpy(np.int64))
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        held = known[at] == tokens
+        tokens, owner, df = tokens[held], owner[held], df_of[at[held]]
         order = np.lexsort((tokens, df, owner))
-        owner, tokens = owner[order], tokens[order]
+        tokens, ends = tokens[order], np.cumsum(np.bincount(owner, minlength=len(sets_)))
         out = []
-        for block, at, cls, n in zip(sets_["block"], sets_["at"], sets_["cls"], sets_["n"], strict=True):
-            a, b = np.searchsorted(owner, [at, at + 1])
-            alone = n - (b - a)
-            if b > a and 5 * alone <= n:
-                out.append(((int(block) << 32) + int(at), cls, int(n), tokens[a : a + n // 5 + 1 - alone].astype(np.int64), tokens[a:b].tobytes()))
-        return pd.DataFrame(out, columns=["v", "cls", "n", "prefix", "body"], dtype=object)
+        for block, at, cls, n, b, size in zip(sets_["block"], sets_["at"], sets_["cls"], sets_["n"], ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True):
+            a, alone = b - size, n - size
+            if size and 5 * alone <= n:
+                out.append(((int(block) << 24) + int(at), cls, int(n), tokens[a : a + n // 5 + 1 - alone].astype(np.int64), tokens[a:b].tobytes()))
+        return pd.DataFrame(out, columns=["v", "cls", "n", "prefix", "body"], dtype=object) if out else none
 
-    back = sets.select("block", "at", "tokens").mapInArrow(deal, "bucket int, block int, owner binary, tokens binary")
-    back = back.groupBy("bucket").applyInPandas(count, "block int, owner binary, tokens binary, df binary")
-    own = sets.select("block", "at", "cls", "n")
-    return staged(own.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(gather, "v long, cls binary, n long, prefix array<long>, body binary"), "ordered")
+    back = sets.select("block", "tokens").mapInArrow(deal, "bucket long, block long, tokens binary, times binary")
+    back = back.groupBy("bucket").applyInPandas(count, "block long, tokens binary, df binary")
+    return staged(sets.groupBy("block").cogroup(back.groupBy("block")).applyInPandas(gather, "v long, cls binary, n long, prefix array<long>, body binary"), "ordered")
+
+
+def _parts(table: DataFrame, column: str, least: int, most: int) -> int:
+    """How many parts keep each at ``most`` of the sum of ``column``; ``least`` at least."""
+    return max(least, -(-(table.agg(F.sum(column)).first()[0] or 0) // most))
 
 
 def _clusters(ordered: DataFrame) -> DataFrame:
@@ -240,12 +295,14 @@ def _unit(small: F.Column, units: int) -> F.Column:
     return F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(units))).otherwise(F.lit(units) + F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(2**40)))
 
 
-def _links(ordered: DataFrame, clusters: DataFrame, units: int) -> DataFrame:
+def _links(ordered: DataFrame, clusters: DataFrame, least: int) -> DataFrame:
     """(a, b): links that connect all classes that similar sets connect."""
     # where each class goes is settled over numbers only; the sets are then shuffled once to meet that and once to their units
-    load = clusters.join(ordered.select("v", (F.octet_length("body") / 8).alias("load")), "v")
+    load = clusters.join(ordered.select("v", (F.octet_length("body") / 8).cast("long").alias("load")), "v")
     size = load.groupBy("cluster").agg(F.ceil(F.sum("load") / LOAD).cast("int").alias("blocks"))
-    place = staged(load.select("v", "cluster").join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")), "places")
+    place = staged(load.join(size, "cluster").withColumn("blk", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")).select("v", "cluster", "blocks", "blk", "load"), "places")
+    units = _parts(place, "load", least, LOAD)
+    place = place.drop("load")
     sets = ordered.select("v", "n", "body")
     t = sets.join(place, "v")
     own = t.withColumns({"i": F.col("blk"), "j": F.col("blk"), "label": F.col("v")}).withColumn("unit", _unit(F.col("blocks") == 1, units))
@@ -253,33 +310,46 @@ def _links(ordered: DataFrame, clusters: DataFrame, units: int) -> DataFrame:
     if place.where("blocks > 1").isEmpty():
         return links
     large = staged(sets.join(place.where("blocks > 1"), "v"), "large")
-    for first in (True, False):  # the first block meets the others; then whatever is not connected yet
+    for first in (True, False):  # the first block meets the others; then what is not connected yet meets where it can link
         label = connected_components(links)
         x = large.join(label.select(F.col("node").alias("v"), F.col("component").alias("label")), "v", "left").withColumn("label", F.coalesce("label", "v"))
         many = x.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cluster")
         x = x.join(many, "cluster", "left_semi")
         if first:
             pairs = F.when(F.col("blk") == 0, F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda k: F.struct(F.lit(0).alias("i"), k.alias("j")))).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.col("blk").alias("j"))))
+            x = x.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p")
         else:
-            others = F.filter(F.sequence(F.lit(1), F.col("blocks") - 1), lambda k: k != F.col("blk"))
-            pairs = F.when(F.col("blk") > 0, F.transform(others, lambda k: F.struct(F.least(k, F.col("blk")).alias("i"), F.greatest(k, F.col("blk")).alias("j"))))
-        x = x.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p").withColumn("unit", _unit(F.lit(False), units))
-        links = staged(links.unionByName(_linked(x.drop("blocks"))), "links")
+            x = x.join(_meetings(ordered, x.select("v", "blk", "label")), "v")
+        x = x.withColumn("unit", _unit(F.lit(False), units))
+        before, links = links, staged(links.unionByName(_linked(x.drop("blocks"))), "links")
+        discard(before)
+    discard(large)
     return links
 
 
+def _meetings(ordered: DataFrame, at: DataFrame) -> DataFrame:
+    """(v, i, j): the pairs of blocks that a class must go to: those with a class of another component that has a prefix shingle in common with it."""
+    entry = staged(ordered.select("v", F.explode("prefix").alias("token")).join(at, "v"), "prefixes")
+    open_ = entry.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    entry = entry.join(open_, "token", "left_semi")
+    there = entry.select("token", F.col("blk").alias("other")).distinct()
+    met = entry.join(there, "token").where("blk <> other")
+    return met.select("v", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j")).distinct()
+
+
 def _components(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of ``t`` (id, text, and a name if wanted): its infos, its classes, and (cls, component, rep) of the classes that have a link."""
-    buckets = 2 * width(t.sparkSession)
+    units = 4 * width(t.sparkSession)
     infos = staged(_infos(t), "infos")
     t = t.select("id", "text")
-    classes = infos.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("half").alias("half"), F.max("n").alias("n"), F.max("s").alias("s"))
-    shared = _shared_counts(t, buckets)
-    hopeful = classes.join(shared, "half", "left").where(5 * (F.col("s") - F.coalesce("shared", F.lit(0))) <= F.col("n")).select("cls", "rep")
+    classes = infos.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("s").alias("s"))
+    shared = _shared_counts(t, _parts(infos, "s", BUCKETS, MOST))
+    hopeful = classes.join(shared, "cls", "left").where(5 * (F.col("s") - F.coalesce("shared", F.lit(0))) <= F.col("n")).select("cls", "rep")
     hopeful = staged(hopeful, "hopeful")
-    ordered = _ordered(_survivor_sets(t, hopeful), buckets)
-    links = _links(ordered, _clusters(ordered), 2 * buckets)
-    comp = connected_components(links).withColumnsRenamed({"node": "v"})
+    sets = _survivor_sets(t, hopeful)
+    ordered = _ordered(sets)
+    discard(hopeful, sets)
+    comp = connected_components(_links(ordered, _clusters(ordered), units)).withColumnsRenamed({"node": "v"})
     return infos, classes, comp.join(ordered.select("v", "cls"), "v").join(classes.select("cls", "rep"), "cls").select("cls", "component", "rep")
 
 

@@ -1,33 +1,24 @@
-"""Word shingles as 64-bit numbers, computed over a text's bytes without cutting it into words."""
+"""Word shingles as 64-bit numbers.
+
+A word is its 128-bit XXH3 hash, two numbers; a shingle is the sum of its words' first numbers, each times an odd number of its place, then mixed.
+Two different shingles get the same number with a chance under 2 ** -60, whatever their letters (XXH3 has no structure that
+particular letters could defeat, unlike a polynomial); a set of n shingles counts one too few with a chance under n ** 2 / 2 ** 61.
+The second numbers make a second lane, which goes into a set's 128-bit key only.
+"""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
+from xxhash import xxh3_128_digest
 
-ODD = 0x9E3779B97F4A7C15 | 1
 SIZE = 5
-
-
-def _words(n: int, seed: int) -> np.ndarray:
-    return np.frombuffer(b"".join(hashlib.blake2b(f"{seed}:{i}".encode(), digest_size=8).digest() for i in range(n)), np.uint64)
-
-
-#: A random word for each byte, those of A-Z as of a-z.
-LETTER = _words(256, 3).copy()
-LETTER[65:91] = LETTER[97:123]
-BLANK = np.zeros(256, bool)
-BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        with np.errstate(over="ignore"):
-            _POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), ODD, np.uint64)]))
-    return _POWERS
+#: A-Z as a-z; all other bytes as they are.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+EMPTY = np.zeros(0, np.uint64)
+#: An odd number for each lane and place. No two of a lane are equal modulo 32, so that words that change places are told apart (2 ** -60).
+PLACES = np.frombuffer(hashlib.blake2b(b"places", digest_size=40).digest() + hashlib.blake2b(b"more places", digest_size=40).digest(), np.uint64).reshape(2, SIZE) | np.uint64(1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -37,36 +28,39 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The distinct five-word shingles, sorted. Fewer words: the whole sequence is one. No word or null: empty."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    blank = BLANK[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    letters = LETTER[raw]
-    letters[blank] = 0
+def _words(text: str | None) -> np.ndarray:
+    """Both numbers of each word, a column for each word."""
+    # bytes.split() cuts at runs of 0x20 and 0x09 to 0x0D, and at nothing else
+    words = (text or "").encode("utf-8", "replace").translate(LOWER).split()
+    return np.ascontiguousarray(np.frombuffer(b"".join(map(xxh3_128_digest, words)), np.uint64).reshape(-1, 2).T)
+
+
+def _lane(word: np.ndarray, lane: int) -> np.ndarray:
+    n, short = max(1, len(word) - SIZE + 1), min(SIZE, len(word))
     with np.errstate(over="ignore"):
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))])
-        powers = _powers(int(place.max()) + 2)
-        word = mixed(np.add.reduceat(letters * powers[place], starts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        if len(word) < SIZE:
-            h = np.uint64(len(word))
-            for w in word:
-                h = h * np.uint64(ODD) + w
-            return mixed(np.array([h], np.uint64))
-        h = np.full(len(word) - SIZE + 1, SIZE, np.uint64)
-        for k in range(SIZE):
-            h = h * np.uint64(ODD) + word[k : len(word) - SIZE + 1 + k]
-    h = mixed(h)
-    h.sort()
-    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+        h = word[:n] * PLACES[lane, 0]
+        for k in range(1, short):
+            h += word[k : n + k] * PLACES[lane, k]
+        return mixed(h + np.uint64(short))
 
 
-def set_key(shingles: np.ndarray) -> bytes:
-    """128 bits that name a set."""
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct five-word shingles, sorted. Fewer words: the whole sequence is one. No word or null: empty."""
+    return shingle_set_and_key(text)[0]
+
+
+def shingle_set_and_key(text: str | None) -> tuple[np.ndarray, bytes | None]:
+    """(the set, 128 bits that name it, made of both lanes); the key of an empty set is None."""
+    one, two = _words(text)
+    if not len(one):
+        return EMPTY, None
+    h = _lane(one, 0)
+    order = np.argsort(h)
+    h = h[order]
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    if not new.all():
+        h, order = h[new], order[new]
+    key = hashlib.blake2b(h, digest_size=16)
+    key.update(_lane(two, 1)[order])
+    return h, key.digest()

@@ -133,6 +133,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("load", [300_000, 60])
 def test_jaccard_components(spark, nothing, monkeypatch, load):
     monkeypatch.setattr(jaccard_join, "LOAD", load)  # a small load cuts clusters into blocks
+    monkeypatch.setattr(jaccard_join, "MOST", 5 * load)  # and shingles into many buckets, sets into many blocks
     rng = np.random.default_rng(11)
     rows = list(ODD[:-1])
     for i in range(100, 220):
@@ -167,6 +168,27 @@ def test_jaccard_components_over_many_small_files(spark):
     assert Counter(tuple(r) for r in got) == brute_components(rows)
 
 
+@pytest.mark.parametrize("rows", [[(1, "a b c"), (2, "z y")], [(1, "a b c"), (2, "a b c"), (3, "z y")], [(1, "one")], [(1, None), (2, ""), (3, " ")], [(3, "a b c d e f"), (2, "a b c d e f"), (1, "a b c d e g"), (5, "A b c d e"), (4, "a b c d")]])
+def test_jaccard_components_of_few_short_rows(spark, rows):
+    t = table_of(spark, rows)
+    assert Counter(tuple(r) for r in jaccard_join.jaccard_components(t).collect()) == brute_components(rows)
+    stay = {c for _, n, c in brute_components(rows) if n} | {i for i, n, _ in brute_components(rows) if not n}
+    assert {r["doc_id"] for r in jaccard_join.drop_near_copies(t).collect()} == stay
+
+
+def test_shingles_of_words_that_defeat_polynomials():
+    """Thue-Morse words are equal to a polynomial modulo 2 ** 64 with any odd base; they are different words all the same."""
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, word + " " + other, other + " " + word, f"{word} x {other} y z", f"{other} x {word} y z"]
+    found = [shingles.shingle_set_and_key(t) for t in texts]
+    assert len({k for _, k in found}) == len(texts) == len({int(s[0]) for s, _ in found})
+    for t in texts:
+        assert (shingles.shingle_set(t) == shingles.shingle_set_and_key(t.upper())[0]).all()
+
+
 def test_near_copies_without_unique_ids(spark):
     """Rows without links stay whatever their id, and of each component one row stays."""
     text = lambda k, n=40: " ".join(f"q{k}x{j}" for j in range(n))
