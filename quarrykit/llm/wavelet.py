@@ -1,10 +1,11 @@
 """Token-ID output as wavelet matrices: one compressed file per shard that can be read at any token.
 
-File format: magic ``WMX1``, then seven little-endian unsigned 64-bit numbers (tokens, documents, bits, plane bytes, rank
-bytes, document bytes, and the shard's first token in its part), then zstd frames of the bit planes, of the rank directory and of the documents'
-table. A plane holds one bit of every token, most significant first, in the order that the planes above leave: tokens with a 0
-keep their order before those with a 1. The rank directory counts the ones before every 512th bit of each plane. The table
-holds each document's id and number of tokens.
+File format: magic ``WMX2``, then six little-endian unsigned 64-bit numbers (tokens, documents, bits, rank bytes, document bytes, and the
+shard's first token in its part) and one for each plane's bytes; then zstd frames of the rank directory, of the documents' table and of
+each bit plane by itself, so that reading a token, counting or looking one up unpacks the planes it comes to and nothing else. A plane
+holds one bit of every token, most significant first, in the order that the planes above leave: tokens with a 0 keep their order before those
+with a 1. The rank directory counts the ones before every 512th bit of each plane. The table holds each document's id and number of tokens.
+A shard of 2 ** 17 tokens has planes of 16 KB, which stay in a processor's cache while they are made and undone.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from quarrykit.llm.encoding import encoder, spans
 from quarrykit.plans.storage import new_path, width
 
-MAGIC, STEP = b"WMX1", 512
+MAGIC, STEP = b"WMX2", 512
 SHARDS = "part int, seq int, start_in_part long, n_tokens long, n_docs long, file binary"
 
 
@@ -33,20 +34,30 @@ def _order(one: np.ndarray) -> np.ndarray:
 class WaveletMatrix:
     """Access, rank and select over one shard's tokens."""
 
-    def __init__(self, n: int, bits: int, planes: np.ndarray, ranks: np.ndarray) -> None:
-        self.n, self.bits, self.planes, self.ranks = n, bits, planes, ranks
-        self.zeros = [n - self._rank1(p, n) for p in range(bits)]
+    def __init__(self, n: int, bits: int, planes: list[np.ndarray | None], ranks: np.ndarray, frames: list[bytes] | None = None) -> None:
+        """``planes`` that are None are unpacked from ``frames`` when they are needed first."""
+        self.n, self.bits, self.planes, self.ranks, self.frames = n, bits, planes, ranks, frames
+
+    def _plane(self, p: int) -> np.ndarray:
+        if self.planes[p] is None:
+            import zstandard
+
+            self.planes[p] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[p], (self.n + 7) // 8), np.uint8)
+        return self.planes[p]
+
+    def _zeros(self, p: int) -> int:
+        return self.n - self._rank1(p, self.n)
 
     @classmethod
     def build(cls, tokens: np.ndarray) -> WaveletMatrix:
         n = len(tokens)
         bits = max(1, int(tokens.max()).bit_length()) if n else 1
         a = tokens.astype(np.uint16 if bits <= 16 else np.uint32)
-        planes = np.zeros((bits, (n + 7) // 8), np.uint8)
+        planes: list[np.ndarray | None] = []
         ranks = np.zeros((bits, n // STEP + 1), np.uint32)
         for p in range(bits):
             one = (a & a.dtype.type(1 << (bits - 1 - p))) != 0
-            planes[p] = np.packbits(one)
+            planes.append(np.packbits(one))
             per = np.add.reduceat(one, np.arange(0, n, STEP), dtype=np.uint32) if n else np.zeros(0, np.uint32)
             ranks[p, 1:] = np.cumsum(per)[: n // STEP]
             a = a.take(_order(one))
@@ -54,11 +65,11 @@ class WaveletMatrix:
 
     def _rank1(self, plane: int, i: int) -> int:
         block = i // STEP
-        rest = np.unpackbits(self.planes[plane, block * STEP // 8 : (i + 7) // 8])[: i - block * STEP]
+        rest = np.unpackbits(self._plane(plane)[block * STEP // 8 : (i + 7) // 8])[: i - block * STEP]
         return int(self.ranks[plane, block]) + int(rest.sum())
 
     def _bit(self, plane: int, i: int) -> int:
-        return int(self.planes[plane, i >> 3]) >> (7 - (i & 7)) & 1
+        return int(self._plane(plane)[i >> 3]) >> (7 - (i & 7)) & 1
 
     def access(self, i: int) -> int:
         """The i-th token."""
@@ -66,7 +77,7 @@ class WaveletMatrix:
         for p in range(self.bits):
             b = self._bit(p, i)
             ones = self._rank1(p, i)
-            i = self.zeros[p] + ones if b else i - ones
+            i = self._zeros(p) + ones if b else i - ones
             out = out << 1 | b
         return out
 
@@ -77,7 +88,7 @@ class WaveletMatrix:
         lo, hi = 0, i
         for p in range(self.bits):
             a, b = self._rank1(p, lo), self._rank1(p, hi)
-            lo, hi = (self.zeros[p] + a, self.zeros[p] + b) if token >> (self.bits - 1 - p) & 1 else (lo - a, hi - b)
+            lo, hi = (self._zeros(p) + a, self._zeros(p) + b) if token >> (self.bits - 1 - p) & 1 else (lo - a, hi - b)
         return hi - lo
 
     def count(self, token: int) -> int:
@@ -100,7 +111,7 @@ class WaveletMatrix:
         """All tokens in order: the planes' permutations undone from the last to the first."""
         a = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for p in reversed(range(self.bits)):
-            one = np.unpackbits(self.planes[p])[: self.n].view(bool)
+            one = np.unpackbits(self._plane(p))[: self.n].view(bool)
             up = np.empty_like(a)
             up[_order(one)] = a
             a = up | (one.astype(a.dtype) << a.dtype.type(self.bits - 1 - p))
@@ -112,8 +123,8 @@ class WaveletMatrix:
         pack = zstandard.ZstdCompressor(level=1).compress
         ids = pa.array(doc_ids, pa.int64())
         table = np.asarray(ids.is_null(), bool).astype(np.uint8).tobytes() + ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + np.asarray(sizes, "<u8").tobytes()
-        body = [pack(self.planes.tobytes()), pack(self.ranks.astype("<u4").tobytes()), pack(table)]
-        return MAGIC + struct.pack("<7Q", self.n, len(doc_ids), self.bits, *map(len, body), start) + b"".join(body)
+        body = [pack(self.ranks.astype("<u4").tobytes()), pack(table), *[pack(self._plane(p).tobytes()) for p in range(self.bits)]]
+        return MAGIC + struct.pack(f"<{6 + self.bits}Q", self.n, len(doc_ids), self.bits, len(body[0]), len(body[1]), start, *map(len, body[2:])) + b"".join(body)
 
     @classmethod
     def from_file(cls, file: bytes) -> tuple[WaveletMatrix, list, np.ndarray, int]:
@@ -122,20 +133,22 @@ class WaveletMatrix:
 
         if file[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        n, docs, bits, *sizes, start = struct.unpack("<7Q", file[4:60])
-        parts, at = [], 60
+        n, docs, bits, *sizes, start = struct.unpack_from("<6Q", file, 4)
+        sizes += struct.unpack_from(f"<{bits}Q", file, 52)
+        parts, at = [], 52 + 8 * bits
         for size in sizes:
-            parts.append(zstandard.ZstdDecompressor().decompress(file[at : at + size]))
+            parts.append(file[at : at + size])
             at += size
-        planes = np.frombuffer(parts[0], np.uint8).reshape(bits, (n + 7) // 8)
-        ranks = np.frombuffer(parts[1], "<u4").reshape(bits, n // STEP + 1)
-        null = np.frombuffer(parts[2], np.uint8, docs)
-        ids = np.frombuffer(parts[2], "<i8", docs, docs)
-        lengths = np.frombuffer(parts[2], "<u8", docs, 9 * docs)
-        return cls(n, bits, planes, ranks), [None if x else int(i) for x, i in zip(null, ids, strict=True)], lengths.astype(np.int64), start
+        unpack = zstandard.ZstdDecompressor().decompress
+        ranks = np.frombuffer(unpack(parts[0]), "<u4").reshape(bits, n // STEP + 1)
+        table = unpack(parts[1])
+        null = np.frombuffer(table, np.uint8, docs)
+        ids = np.frombuffer(table, "<i8", docs, docs)
+        lengths = np.frombuffer(table, "<u8", docs, 9 * docs)
+        return cls(n, bits, [None] * bits, ranks, parts[2:]), [None if x else int(i) for x, i in zip(null, ids, strict=True)], lengths.astype(np.int64), start
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 1 << 21) -> None:
     """Encode all documents in ascending id order and write their shards under ``path``, a file in each row.
 
     A shard is closed when it holds ``shard_tokens``; a document is never cut, so one longer than that has a shard to itself. The
@@ -164,15 +177,20 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
         enc = encoder(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in spans(texts, shard_tokens * 2):
+            for a, b in spans(texts, most_chars):
                 tokens, per = enc.encode([t or "" for t in texts[a:b]])
-                tokens = np.insert(tokens, np.cumsum(per), end_id)
-                held_ids += ids[a:b]
-                held.append(tokens)
-                sizes.append(per + 1)
-                have += len(tokens)
-                if have >= shard_tokens:
-                    yield close()
+                tokens, per = np.insert(tokens, np.cumsum(per), end_id), per + 1
+                ends = np.append(0, np.cumsum(per))
+                first = 0
+                while first < len(per):  # documents up to the one with which the shard is full
+                    upto = min(len(per), max(first + 1, int(np.searchsorted(ends, ends[first] + shard_tokens - have))))
+                    held_ids += ids[a + first : a + upto]
+                    held.append(tokens[ends[first] : ends[upto]])
+                    sizes.append(per[first:upto])
+                    have += int(ends[upto] - ends[first])
+                    first = upto
+                    if have >= shard_tokens:
+                        yield close()
         if held_ids:
             yield close()
 

@@ -58,6 +58,28 @@ def test_wavelet_round_trip(spark, odd, nothing):
     assert wavelet.read_documents(wavelet.encode_to_shards(nothing, path)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_library(name):
+    """Every text as the plain call of the library gives it, strings of special tokens, odd spaces and control characters included."""
+    from tokenizers import Tokenizer
+
+    from quarrykit.llm.encoding import Encoder
+
+    plain, own = Tokenizer.from_file(tokenizer_path(name)), Encoder(tokenizer_path(name), most_chunks=3000)
+    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    rng = np.random.default_rng(8)
+    parts = [*special, *(x.upper() for x in special), *(x[:-1] for x in special), " ", "  ", "\n", "\t", "\r\n", "\0", "\u2028", "\u3000", "a", "Word", " the", "can't", "'s", "12", "é", "e\u0301", "世界", "ß", "İ", "!!", ".", "<|", "|>", "</w>", "ſ", "😀", "\x1c"]
+    for _ in range(120):
+        texts = ["".join(rng.choice(parts, int(rng.integers(0, 9)))) for _ in range(25)]
+        ids, per = own.encode(texts)
+        want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        at = 0
+        for t, n, w in zip(texts, per.tolist(), want, strict=True):
+            assert ids[at : at + n].tolist() == w, t
+            at += n
+        assert at == len(ids)
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     x = np.random.default_rng(n).zipf(1.5, n).astype(np.int64) % 70_000
@@ -66,6 +88,8 @@ def test_wavelet_matrix(n):
     for i in range(0, n, 97):
         assert m.access(i) == x[i] and m.rank(int(x[i]), i) == (x[:i] == x[i]).sum()
     if n:
+        again = wavelet.WaveletMatrix.from_file(m.to_file([1], np.array([n]), 0))[0]
+        assert again.planes == [None] * m.bits and again.access(0) == x[0] and again.rank(1 << m.bits, n) == 0
         assert m.occurrences(int(x[n // 2])) == np.flatnonzero(x == x[n // 2]).tolist()
 
 
