@@ -15,28 +15,35 @@ MIX_SHARE = 0.9
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go. It is trained on the labelled rows of the input."""
+    """Documents that the model rejects go, with all columns as they were. It is trained on the labelled rows of the input; without any, no document goes.
+
+    Null and empty texts have no evidence and stay; repeated rows are judged alike; an empty table stays empty.
+    """
     model = string_kernel.train(*string_kernel.training_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return string_kernel.flag_texts(docs, model).where("NOT _toxic").drop("_toxic")
+    return string_kernel.drop_toxic(docs, model)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays."""
+    """Of equal texts (null: empty) the row with the smallest id stays; a null id is larger than every other; of rows that repeat id and text one stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id stays."""
+    """Of each component of near copies the document with the smallest id stays. Texts without words are linked with nothing and stay; ids may repeat or be null."""
     return jaccard_join.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each leaf keeps the whole documents of its seeded order that its token budget reaches into."""
+    """Each leaf keeps the whole documents of its seeded order that its token budget reaches into.
+
+    A null language or source is a leaf of its own. Documents without words cost nothing: they stay where the leaf's budget takes a whole epoch.
+    """
     out = mixing.mix(docs, [domain_column(), F.col("lang"), F.col("source")], weight, MIX_SHARE)
     return out.where("_epochs > 0 OR _take > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document left, in pieces of binary lengths; null text is empty (its one token is the end)."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
