@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrykit.llm.names import free
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,6 +35,10 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://([^/?#]*)([^?#]*)", 2), F.lit(""))
 
 
+#: Hash functions of a filter at most: fewer probes for somewhat more bits.
+MOST_HASHES = 6
+
+
 @dataclass(frozen=True)
 class Level:
     words: tuple[int, ...]  #: the bits, 64 to a word, signed
@@ -42,10 +48,10 @@ class Level:
 
     def passes(self, key: Column) -> Column:
         """Whether all of the key's bits are set."""
-        table = F.lit(list(self.words)).cast("array<long>")
         ok = F.lit(True)
         for at in _positions(key, self.bits, self.hashes, self.seed):
-            ok = ok & (F.getbit(F.element_at(table, (F.floor(at / 64) + 1).cast("int")), (at % 64).cast("int")) == 1)
+            word = F.lit(self.words[0]).cast("long") if len(self.words) == 1 else F.element_at(F.lit(list(self.words)).cast("array<long>"), (F.floor(at / 64) + 1).cast("int"))
+            ok = ok & (F.getbit(word, (at % 64).cast("int")) == 1)
         return ok
 
 
@@ -55,8 +61,8 @@ def _positions(key: Column, bits: int, hashes: int, seed: int) -> list[Column]:
 
 def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A Bloom filter over column ``key`` of ``keys`` (n rows), its bits set by a distributed aggregate."""
-    hashes = max(1, round(math.log2(1 / rate)))
-    bits = max(64, 64 * math.ceil(n * hashes / math.log(2) / 64))
+    hashes = max(1, min(MOST_HASHES, round(math.log2(1 / rate))))
+    bits = max(64, 64 * math.ceil(n * hashes / -math.log(1 - rate ** (1 / hashes)) / 64))
     words = (
         keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, seed))).alias("at"))
         .groupBy(F.floor(F.col("at") / 64).alias("word"))
@@ -80,31 +86,41 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: list[str], universe: DataFrame, seed: int = 7) -> Cascade:
-    """Build over ``universe`` (column ``key``, repeats allowed) for the ``listed`` keys.
+def build_cascades(lists: dict[str, list[str]], universe: DataFrame, seed: int = 7) -> dict[str, Cascade]:
+    """A cascade for each of ``lists`` over ``universe`` (column ``key``, repeats allowed), which is read twice whatever the number of lists.
 
     An empty list gives a cascade of no level, which contains nothing.
     """
     spark = universe.sparkSession
-    listed = sorted(set(listed))
+    frame = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    listed = {name: sorted(set(keys)) for name, keys in lists.items()}
+    out = {name: Cascade(()) for name, keys in listed.items() if not keys}
+    listed = {name: keys for name, keys in listed.items() if keys}
     if not listed:
-        return Cascade(())
-    size = universe.count()
-    rate = min(0.5, len(listed) / (math.sqrt(2) * max(1, size)))
-    own = spark.createDataFrame([(k,) for k in listed], "key string")
-    levels = [_level(own, len(listed), rate, seed)]
-    # everything that passes level 0 and isn't listed; about len(listed) keys by the choice of the rate
-    wrong = universe.where(levels[0].passes(F.col("key"))).where(~F.col("key").isin(listed)).distinct()
-    inside, outside = listed, [r["key"] for r in wrong.collect()]
-    while True:
-        put, against = (outside, inside) if len(levels) % 2 else (inside, outside)
-        if not put:
-            return Cascade(tuple(levels))
-        keys = spark.createDataFrame([(k,) for k in put], "key string")
-        levels.append(_level(keys, len(put), 0.5, seed + len(levels)))
-        rest = spark.createDataFrame([(k,) for k in against], "key string") if against else None
-        left = [] if rest is None else [r["key"] for r in rest.where(levels[-1].passes(F.col("key"))).collect()]
-        inside, outside = (left, outside) if len(levels) % 2 == 0 else (inside, left)
+        return out
+    size = max(1, universe.count())
+    first = {name: _level(frame(keys), len(keys), min(0.5, len(keys) / (math.sqrt(2) * size)), seed) for name, keys in listed.items()}
+    # whatever passes a level 0 and isn't listed there; about as many keys as are listed, by the choice of the rate
+    passes = F.array_compact(F.array(*[F.when(level.passes(F.col("key")), F.lit(name)) for name, level in first.items()]))
+    passed = universe.select("key", F.explode(passes).alias("name")).distinct()
+    own = spark.createDataFrame([(k, name) for name, keys in listed.items() for k in keys], "key string, name string")
+    wrong: dict[str, list[str]] = {name: [] for name in listed}
+    for r in passed.join(own, ["key", "name"], "left_anti").collect():
+        wrong[r["name"]].append(r["key"])
+    for name, level in first.items():
+        levels, inside, outside = [level], listed[name], sorted(wrong[name])
+        while put := outside if len(levels) % 2 else inside:
+            against = inside if len(levels) % 2 else outside
+            levels.append(_level(frame(put), len(put), 0.5, seed + len(levels)))
+            left = [r["key"] for r in frame(against).where(levels[-1].passes(F.col("key"))).collect()]
+            inside, outside = (left, outside) if len(levels) % 2 == 0 else (inside, left)
+        out[name] = Cascade(tuple(levels))
+    return out
+
+
+def build_cascade(listed: list[str], universe: DataFrame, seed: int = 7) -> Cascade:
+    """One list's cascade."""
+    return build_cascades({"list": listed}, universe, seed)["list"]
 
 
 @dataclass(frozen=True)
@@ -123,7 +139,8 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
 
     Adds host, path, rule (its key, else null) and verdict (the rule's; ``default`` where no list
     has the url). A null url or one without ``://`` has an empty host and path and fits no rule. Of rules equally
-    long, the one with the longer host wins. Columns of these names in ``pages`` are replaced.
+    long, the one with the longer host wins. Repeated pages are judged alike; an empty table gives no rows. Columns of these names in ``pages`` are
+    replaced, all others are handed on, whatever their names.
     """
     shapes = sorted({(len(r.host), len(r.path)) for r in rules}, key=lambda s: (-(s[0] + s[1]), -s[0]))
     out = pages.withColumns({"host": url_host(F.col(url_col)), "path": url_path(F.col(url_col))})
@@ -137,13 +154,13 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
         return out.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keys = F.array(*[candidate(h, p) for h, p in shapes])
     universe = out.select(F.explode(keys).alias("key")).where(F.col("key").isNotNull())
-    by = {v: [r.key for r in rules if r.verdict == v] for v in sorted({r.verdict for r in rules})}
-    cascades = {v: build_cascade(listed, universe) for v, listed in by.items()}
-    out = out.withColumn("_keys", keys)
-    rule, verdict = F.lit(None).cast("string"), F.lit(default)
-    for i in reversed(range(len(shapes))):
-        key = F.element_at("_keys", i + 1)
-        for v, cascade in cascades.items():
-            hit = key.isNotNull() & cascade.contains(key)
-            rule, verdict = F.when(hit, key).otherwise(rule), F.when(hit, F.lit(v)).otherwise(verdict)
-    return out.withColumns({"rule": rule, "verdict": verdict}).drop("_keys")
+    cascades = build_cascades({v: [r.key for r in rules if r.verdict == v] for v in sorted({r.verdict for r in rules})}, universe)
+    judged, (held, hit) = list(cascades), free(out, "_keys", "_hit")
+    # one cascade after another, over the list of keys: the expression doesn't grow with the number of shapes
+    of_key = lambda key: F.coalesce(*[F.when(cascades[v].contains(key), F.lit(n)) for n, v in enumerate(judged)], F.lit(-1))
+    found = F.transform(F.col(held), lambda key: F.struct(key.alias("key"), F.when(key.isNotNull(), of_key(key)).otherwise(F.lit(-1)).alias("n")))
+    out = out.withColumn(held, keys)
+    out = out.withColumn(hit, F.filter(found, lambda x: x["n"] >= 0))
+    some, best = F.size(hit) > 0, F.get(F.col(hit), F.lit(0))
+    verdict = F.when(some, F.get(F.array(*map(F.lit, judged)), best["n"])).otherwise(F.lit(default))
+    return out.withColumns({"rule": F.when(some, best["key"]), "verdict": verdict}).drop(held, hit)
