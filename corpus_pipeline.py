@@ -38,8 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null language or source is a leaf of its own. Documents without words cost nothing: they stay where the leaf's budget takes a whole epoch.
     """
-    out = mixing.mix(docs, [domain_column(), F.col("lang"), F.col("source")], weight, MIX_SHARE)
-    return out.where("_epochs > 0 OR _take > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixing.mixed_documents(docs, [domain_column(), F.col("lang"), F.col("source")], weight, MIX_SHARE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.llm.names import columns, free
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -42,10 +44,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns. Of rows that repeat id and text, the first by a hash of all columns stays."""
-    stay = duplicate_groups(docs, id_col, text_col).select(F.col("keep_id").alias("_keep"), F.col("h").alias("_gh"), F.col("sha").alias("_gsha"))
-    t = docs.withColumn("_body", normalised(F.col(text_col))).withColumns({"_h": F.md5("_body"), "_sha": F.sha2("_body", 256)}).drop("_body")
-    t = t.join(stay, t[id_col].eqNullSafe(stay["_keep"]) & (t["_h"] == stay["_gh"]) & (t["_sha"] == stay["_gsha"]), "left_semi")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    first = Window.partitionBy(F.col(id_col), "_h", "_sha").orderBy(F.xxhash64(*own))
-    return t.withColumn("_rep", F.row_number().over(first)).where("_rep = 1").select(*own)
+    """The documents that stay, with all their columns and no other. Of rows that repeat id and text, the first by a hash of all columns stays.
+
+    Null counts as empty; a null id is larger than every other; an empty table stays empty. Columns of any name are handed on as they are.
+    """
+    h, sha, nth, keep, gh, gsha = free(docs, "_h", "_sha", "_nth", "_keep", "_gh", "_gsha")
+    stay = duplicate_groups(docs, id_col, text_col).select(F.col("keep_id").alias(keep), F.col("h").alias(gh), F.col("sha").alias(gsha))
+    body = normalised(F.col(text_col))
+    t = docs.withColumns({h: F.md5(body), sha: F.sha2(body, 256)})
+    t = t.join(stay, t[id_col].eqNullSafe(stay[keep]) & (t[h] == stay[gh]) & (t[sha] == stay[gsha]), "left_semi")
+    own = columns(docs)
+    first = Window.partitionBy(F.col(id_col), h, sha).orderBy(F.xxhash64(*own))
+    return t.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*own)

@@ -24,9 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.llm.names import columns, free
 from quarrykit.llm.shingles import shingle_set_and_key
 from quarrykit.llm.trie_join import join_components
 from quarrykit.operators.graph import connected_components
@@ -93,9 +95,9 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
         from pyspark import TaskContext
 
         own_bucket = -1 - (TaskContext.get().partitionId() << 24)  # what a batch settles is a group of its own
-        for nth, batch in enumerate(batches):
+        for nth, texts in enumerate(part for batch in batches for part in _slices(batch.column(0))):
             seen: dict[bytes, np.ndarray] = {}
-            for t in batch.column(0):
+            for t in texts:
                 s, key = shingle_set_and_key(t.as_py())
                 if key:
                     seen.setdefault(key, s[: np.searchsorted(s, np.uint64(PART))])
@@ -146,6 +148,16 @@ def _shared_counts(docs: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInPandas(count, "cls binary, shared long").groupBy("cls").agg(F.sum("shared").alias("shared"))
 
 
+def _slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[pa.Array]:
+    """Runs of texts of about ``most`` bytes together, or one longer text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, upto - at)
+        at = upto
+
+
 def _cut(keys: bytes) -> list[bytes]:
     return [keys[a : a + 16] for a in range(0, len(keys), 16)]
 
@@ -381,10 +393,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a class without links is a component of its own
     t = t.withColumn("own", F.when(F.col("component").isNull(), F.col("cls")))
     keep = t.groupBy("component", "own").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name")).alias("k")).select(F.col("k.id").alias("_keep"), F.col("k.name").alias("_kname"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own, (named, nth, kept, kept_name) = columns(docs), free(docs, "_name", "_nth", "_keep", "_kname")
+    keep = keep.select(F.col("_keep").alias(kept), F.col("_kname").alias(kept_name))
     worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    some = docs.where(worded).withColumn("_name", name)
-    some = some.join(keep, some[id_col].cast("long").eqNullSafe(F.col("_keep")) & (F.col("_name") == F.col("_kname")), "left_semi")
-    one = Window.partitionBy(F.col(id_col), "_name").orderBy(F.xxhash64(*own))
-    some = some.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*own)
+    some = docs.where(worded).withColumn(named, name)
+    some = some.join(keep, some[id_col].cast("long").eqNullSafe(keep[kept]) & (some[named] == keep[kept_name]), "left_semi")
+    one = Window.partitionBy(F.col(id_col), named).orderBy(F.xxhash64(*own))
+    some = some.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*own)
     return some.unionByName(docs.where(~worded))

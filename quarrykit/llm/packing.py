@@ -32,7 +32,7 @@ def piece_lengths(sizes: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarr
     return np.repeat(np.repeat(np.arange(len(sizes)), bits + 1), flat), np.repeat(lengths, flat)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096, keep_tokens: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096, keep_tokens: bool = False, id_col: str = "doc_id", text_col: str = "text", most_chunks: int = 350_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``keep_tokens`` its token ids.
 
     Null text is empty (its one token is ``end_id``). Each row of the input is a document of its own, also where id and text repeat; null ids stay
@@ -47,7 +47,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, longest: int = 4096,
 
         part = TaskContext.get().partitionId()
         made: dict[int, int] = {}
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, most_chunks)
         for batch in batches:
             all_ids, all_texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in spans(all_texts):

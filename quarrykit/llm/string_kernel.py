@@ -181,7 +181,7 @@ class Model:
     weight: np.ndarray  #: of each landmark's kernel
     bias: float
     curve: np.ndarray  #: logistic weights of the document's features
-    most_words: int = 300_000  #: words whose numbers a worker keeps at a time
+    most_words: int = 120_000  #: words whose numbers a worker keeps at a time
     known: dict[bytes, float] = field(default_factory=dict, repr=False)
     marks: Landmarks | None = field(default=None, repr=False)
 

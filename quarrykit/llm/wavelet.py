@@ -148,7 +148,7 @@ class WaveletMatrix:
         return cls(n, bits, [None] * bits, ranks, parts[2:]), [None if x else int(i) for x, i in zip(null, ids, strict=True)], lengths.astype(np.int64), start
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 1 << 21) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text", most_chars: int = 1 << 20, most_chunks: int = 2_000_000) -> None:
     """Encode all documents in ascending id order and write their shards under ``path``, a file in each row.
 
     A shard is closed when it holds ``shard_tokens``; a document is never cut, so one longer than that has a shard to itself. The
@@ -174,7 +174,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
             seq, start, have, held_ids, held, sizes = seq + 1, start + have, 0, [], [], []
             return row
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, most_chunks)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in spans(texts, most_chars):
