@@ -104,8 +104,9 @@ def judged(url):
 def test_urls(spark):
     urls = [None, "", "org/", "http://ORG/", "http://a.org", "http://a.org/x", "http://xorg/", "https://example.org/es/1", "https://b.example.org/en/12?x", "http://example.org/en/2", "http://x.com/de/", "x://y.com/fr/#a", "a://b.com/de", "http://example.org:80/es/", "//x.com/de/", "h://É.com/de/x"]
     urls += [f"http://s{i}.{d}/{p}/{i}" for i in range(30) for d in ("example.org", "a.com", "net") for p in ("es", "en", "de")]
-    t = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    t = spark.createDataFrame([(i, u, "h", "r", i, "k") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string, _keys long, _HIT string")
     for r in bloom_cascade.filter_urls(t, URL_RULES).collect():
+        assert (r["_keys"], r["_HIT"]) == (r["page_id"], "k")
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(r["url"]), r["url"]
     assert bloom_cascade.filter_urls(t.limit(0), URL_RULES).count() == 0
     assert {r["verdict"] for r in bloom_cascade.filter_urls(t, []).collect()} == {"allow"}
@@ -275,11 +276,60 @@ def test_toxicity(spark):
     assert np.mean(np.array(score) == np.array(y[160:], bool)) > 0.95
     assert model.score("such a block-head") > 0.5 and model.score(None) == model.score("") < 0.5
     assert string_kernel.kernel("idiot", "id-iot") > 0.9 > 0.5 > string_kernel.kernel("idiot", "garden")
+    assert string_kernel.drop_toxic(table_of(spark, []), model).count() == 0 == string_kernel.score_documents(table_of(spark, []), model).count()
     got = string_kernel.score_documents(table_of(spark, ODD), model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
 
 
+def brute_kernel(a, b):
+    """The sum over all pairs of equal gapped triples of the words with a mark before them, cubed."""
+    mark = lambda x: "^" + "".join(c for c in x.lower() if c.isalpha())
+    def triples(x):
+        found = [(x[p], x[p + j], x[p + k], 0.6 ** (k - 2)) for p in range(len(x)) for k in range(2, 6) for j in range(1, k) if p + k < len(x)]
+        return found, max(1.0, sum(w * w for *_, w in found)) ** 0.5
+    (x, nx), (y, ny) = triples(mark(a)), triples(mark(b))
+    return min(1.0, sum(v[3] * w[3] for v in x for w in y if v[:3] == w[:3]) / nx / ny) ** 3
+
+
+def test_string_kernel_against_brute_force():
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(2, 12, 40)] + ["ab" * 20, "abcd" * 300, "a"]
+    marks = string_kernel.Landmarks([string_kernel.letters(w) for w in words[::3]])
+    got = np.zeros((len(words), len(words[::3])))
+    for at, k in marks.kernel([string_kernel.letters(w) for w in words]):
+        got[at] = k
+    for i, a in enumerate(words):
+        for j, b in enumerate(words[::3]):
+            if len(a) * len(b) < 3000:
+                assert abs(got[i, j] - brute_kernel(a, b)) < 1e-4, (a, b)
+
+
+def test_sentences_and_letters():
+    cut = lambda t: [{"".join(chr(c + 32) for c in w) for w in s} for s in string_kernel.sentences(string_kernel.letters(t))]
+    assert cut("You i d i o t! An id-iot\nor v1.2, yes. ") == [{"you", "idiot"}, {"an", "idiot"}, {"or", "v``", "yes"}]
+    assert cut(None) == cut("") == cut(" .\n! ") == []
+
+
+def test_toxicity_of_odd_samples():
+    """Without both labels every text has the same score; a sample too small for a fold is fitted all the same."""
+    assert string_kernel.train([], []).score("any") < 0.5
+    assert string_kernel.train(["a b", None], [0, 0]).score("any") < 0.5 < string_kernel.train(["a b"], [1]).score("any")
+    assert string_kernel.train([None, ""], [0, 1]).score("any") < 0.5
+    small = string_kernel.train(["you blockhead", "good morning", "such a blockhead", "fine weather"], [1, 0, 1, 0])
+    assert small.score("blockhead") > small.score("weather")
+
+
+def test_training_rows(spark):
+    t = table_of(spark, [(i, None if i % 7 == 0 else f"text {i}") for i in range(60)] + [(61, "a"), (61, "b"), (None, "n")])
+    labels = spark.createDataFrame([(i, 5, i % 2) for i in range(60)] + [(61, 5, 1), (61, 5, 1), (None, 1, 1), (3, 1, None)], "doc_id long, text int, toxic int")
+    learn = [i for i in [*range(60), 61] if zlib.crc32(str(i).encode()) % 5]
+    texts, y = string_kernel.training_rows(t, labels)
+    assert sorted(zip(texts, y, strict=True)) == sorted([(f"text {i}", i % 2) for i in learn if i % 7 and i < 60] + ([("a", 1), ("b", 1)] if 61 in learn else []))
+    assert len(set(string_kernel.training_rows(t, labels, most=4)[0])) <= 2 * 4 + 1
+    assert string_kernel.training_rows(t.limit(0), labels) == ([], [])
+
+
 def brute_pii(t):
     t, out = t or "", []
     digits = lambda s: re.sub("[^0-9]", "", s)
@@ -339,10 +389,43 @@ def test_sharding(odd, nothing, spark):
             home[r["text_crc32"]].add(r["shard"])
         assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in home.values())
     assert lpt_sharding.shard_documents(nothing).count() == 0
-    loads = Counter()
-    for k, s in lpt_sharding.schedule([(i, 100 - i) for i in range(100)], 16).items():
-        loads[s] += 100 - k
-    assert max(loads.values()) - min(loads.values()) <= 20
+
+
+def brute_lpt(sizes, shards):
+    """One heap over all items: how many of each size each shard gets."""
+    loads, given = [0] * shards, defaultdict(lambda: [0] * shards)
+    for size in sorted(sizes, reverse=True):
+        i = loads.index(min(loads))
+        loads[i] += size
+        given[size][i] += 1
+    return dict(given)
+
+
+def test_schedule_equals_one_heap_over_all_groups():
+    rng = np.random.default_rng(3)
+    for shards in (1, 3, 16):
+        for _ in range(60):
+            sizes = rng.integers(1, int(rng.integers(2, 60)), int(rng.integers(0, 900))).tolist()
+            if rng.random() < 0.4:
+                sizes += [int(rng.integers(1000, 9000))]  # one group larger than all others together
+            assert dict(lpt_sharding.schedule(Counter(sizes).items(), shards)) == brute_lpt(sizes, shards)
+
+
+def test_shards_are_those_of_the_heap(spark, monkeypatch):
+    rows = [(i, "t" * (i % 23) + "u" * (i % 2)) for i in range(500)] + [(1000 + i, "long " * 300) for i in range(9)]
+    want = Counter()
+    groups = Counter()
+    for _, x in rows:
+        groups[x] += len(x) + 1
+    for size, given in brute_lpt(groups.values(), 5).items():
+        for s, n in enumerate(given):
+            want[s] += n * size
+    for sent in (lpt_sharding.SENT, 0):
+        monkeypatch.setattr(lpt_sharding, "SENT", sent)
+        got = Counter()
+        for r in lpt_sharding.shard_documents(table_of(spark, rows), 5).collect():
+            got[r["shard"]] += r["size"]
+        assert got == want
 
 
 def test_mixing(spark, nothing):
@@ -363,6 +446,71 @@ def test_mixing(spark, nothing):
     assert mixing.mix(nothing, levels, lambda p: 1.0, 0.5).count() == 0
 
 
+def brute_mix(rows, leaf_of, budget, key_of, max_epochs):
+    """(whole epochs, tokens of the last) of each row: the leaf's documents in the order of the epoch's keys until the budget ends."""
+    total = Counter()
+    for i, x in rows:
+        total[leaf_of(i)] += len(x.split())
+    out, begun = {}, Counter()
+    rest = {k: budget[k] - budget[k] // n * n for k, n in total.items()}
+    for i, x in sorted(rows, key=lambda r: (key_of(r[0], budget[leaf_of(r[0])] // total[leaf_of(r[0])]), r[0])):
+        k, n = leaf_of(i), len(x.split())
+        out[i] = (budget[k] // total[k], max(0, min(n, rest[k] - begun[k])))
+        begun[k] += n
+    return out
+
+
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_mix_against_brute_force(spark, monkeypatch, sent):
+    """Each row's epochs and tokens, with columns whose names clash with all that the operator adds."""
+    monkeypatch.setattr(mixing, "SENT", sent)
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 11))) for i in range(300)]
+    clash = ["_leaf", "_tokens", "_epochs", "_take", "_epoch", "_bucket", "_n", "_rest", "_edge", "_start", "_key", "_level0"]
+    t = table_of(spark, rows).withColumns({c: F.lit(f"mine {c}") for c in clash})
+    leaf_of = lambda i: ("d", "en", f"src{i % 3}")
+    weights = {"src0": 0.7, "src1": 0.2, "src2": 0.1}
+    out = mixing.mix(t, [F.lit("d"), F.col("lang"), F.col("source")], lambda p: weights.get(p[-1], 1.0), 0.7, max_epochs=3, buckets=8).collect()
+    total = Counter()
+    for i, x in rows:
+        total[leaf_of(i)] += len(x.split())
+    budget = mixing.allocate(dict(total), lambda p: weights.get(p[-1], 1.0), int(sum(total.values()) * 0.7), 3)
+    keys = {(r["doc_id"], e): r[f"k{e}"] for r in t.select("doc_id", *[F.shiftrightunsigned(F.xxhash64(F.lit(11), F.lit(e).cast("long"), "doc_id", "text"), 1).alias(f"k{e}") for e in range(4)]).collect() for e in range(4)}
+    want = brute_mix(rows, leaf_of, budget, lambda i, e: keys[i, e], 3)
+    assert {r["doc_id"]: (r["__epochs"], r["__take"]) for r in out} == want
+    assert all(r[c] == f"mine {c}" for r in out for c in clash)
+
+
+def brute_split(budget, weights, room):
+    """Token by token to the child that is furthest behind its weight and has room."""
+    given = [0] * len(room)
+    for _ in range(min(budget, sum(room))):
+        i = min((i for i in range(len(room)) if given[i] < room[i]), key=lambda i: ((given[i] + 1) / weights[i], i))
+        given[i] += 1
+    return given
+
+
+def test_shares_against_dealing_token_by_token():
+    rng = np.random.default_rng(12)
+    for _ in range(200):
+        n = int(rng.integers(1, 6))
+        room, weights = rng.integers(0, 60, n).tolist(), rng.integers(1, 9, n).tolist()
+        budget = int(rng.integers(0, 150))
+        got, want = mixing._split(budget, weights, room), brute_split(budget, weights, room)
+        assert sum(got) == sum(want) and max(abs(a - b) for a, b in zip(got, want, strict=True)) <= n
+
+
+def test_stages_hand_on_columns_of_any_name(spark):
+    clash = ["_h", "_sha", "_nth", "_rep", "_keep", "_gh", "_gsha", "_name", "_kname", "_toxic", "_keys", "H", "a.b", "c`d"]
+    rows = [(i, BASE + f" end{i // 2}") for i in range(8)] + [(20, None), (21, "a b")]
+    t = table_of(spark, rows).withColumns({c: F.concat(F.lit(f"{c} "), F.col("doc_id")) for c in clash if c != "H"})
+    words = lambda d: [F.lit("d"), F.col("lang")]
+    model = string_kernel.Model([], np.zeros(0, np.float32), -1.0, np.array([0, 0, -30.0]))
+    for out in (exact_dedup.drop_exact_copies(t), jaccard_join.drop_near_copies(t), mixing.mixed_documents(t, words(t), lambda p: 1.0, 0.9), string_kernel.drop_toxic(t, model)):
+        assert out.columns == t.columns
+        for r in out.collect():
+            assert all(r[c] == f"{c} {r['doc_id']}" for c in clash if c != "H")
+
+
 def test_shortages_go_to_siblings_first():
     got = mixing.allocate({("a", "x"): 10, ("a", "y"): 1000, ("b", "z"): 1000}, lambda p: 1.0, 400)
     assert got == {("a", "x"): 10, ("a", "y"): 190, ("b", "z"): 200}
