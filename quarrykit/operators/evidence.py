@@ -171,14 +171,20 @@ def resolution_area_pass(spark: S, sf: str) -> DataFrame:
     return areas(spark, sf).select("sample_id", "area", F.explode(F.array(*map(F.lit, RESOLUTIONS))).alias("resolution")).select("sample_id", "resolution", (F.col("area") >= r * r).alias("area_pass"))
 
 
-BUCKET_SQL = """SELECT r, bw, bh FROM (SELECT r, bw, unnest([(r * r // bw) // 64 * 64 - 64, (r * r // bw) // 64 * 64, (r * r // bw) // 64 * 64 + 64]) AS bh FROM (SELECT r, unnest(range(256, 2 * r + 1, 64)) AS bw FROM (VALUES (512), (768), (1024), (1216), (1536)) t(r))) WHERE bh >= 256 AND bw * bh <= r * r"""
+BUCKET_SQL = """SELECT r, bw, bh FROM (SELECT r, lo, hi, bw, unnest([b - 64, b, b + 64]) AS bh FROM (SELECT r, lo, hi, bw, greatest(lo, (r * r // bw) // 64 * 64) AS b FROM (SELECT r, lo, hi, unnest(range(lo, hi + 1, 64)) AS bw
+  FROM (SELECT r, greatest(64, least(256, r // 4) // 64 * 64) AS lo, greatest(r, (2 * r) // 64 * 64) AS hi FROM (VALUES (512), (768), (1024), (1216), (1536)) t(r))))) WHERE bh BETWEEN lo AND hi AND bw * bh <= r * r"""
 
 
 def _buckets(spark: S) -> DataFrame:
-    """Candidate sizes of each resolution: a few hundred rows, whatever the data."""
-    r = spark.createDataFrame([(x,) for x in RESOLUTIONS], "r long").withColumn("bw", F.explode(F.expr("sequence(256L, 2 * r, 64L)")))
-    base = F.expr("(r * r div bw) div 64 * 64")
-    return r.withColumn("bh", F.explode(F.array(base - 64, base, base + 64))).where("bh >= 256 AND bw * bh <= r * r")
+    """Candidate sizes of each resolution: a few hundred rows, whatever the data.
+
+    Sides are multiples of 64 from a quarter of the resolution (256 at most) to twice the resolution; of each width the heights around the
+    one that fills the area.
+    """
+    r = spark.createDataFrame([(x,) for x in RESOLUTIONS], "r long").withColumns({"lo": F.expr("greatest(64L, least(256L, r div 4) div 64 * 64)"), "hi": F.expr("greatest(r, (2 * r) div 64 * 64)")})
+    r = r.withColumn("bw", F.explode(F.expr("sequence(lo, hi, 64L)")))
+    base = F.expr("greatest(lo, (r * r div bw) div 64 * 64)")
+    return r.withColumn("bh", F.explode(F.array(base - 64, base, base + 64))).where("bh BETWEEN lo AND hi AND bw * bh <= r * r").select("r", "bw", "bh")
 
 
 @query(f"SELECT CAST(r AS BIGINT) AS resolution, CAST(bw AS BIGINT) AS bucket_w, CAST(bh AS BIGINT) AS bucket_h FROM ({BUCKET_SQL})")

@@ -50,9 +50,9 @@ def event_sequence(spark: S, sf: str) -> DataFrame:
     return task_events(spark, sf).select("task_id", "event_id", "sequence")
 
 
-@query("SELECT user_id AS task_id, event_type AS phase, max_by(event_id, struct_pack(a := ts, b := event_id)) AS checkpoint, max(value) AS most FROM events WHERE event_id % 5 <> 0 GROUP BY ALL")
+@query("SELECT user_id AS task_id, event_type AS phase, max_by(event_id, struct_pack(a := ts, b := event_id)) AS checkpoint, max(value) AS most FROM events WHERE value IS NOT NULL GROUP BY ALL")
 def latest_checkpoint(spark: S, sf: str) -> DataFrame:
-    return table(spark, sf, "events").where("event_id % 5 <> 0").groupBy(F.col("user_id").alias("task_id"), F.col("event_type").alias("phase")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("checkpoint"), F.max("value").alias("most"))
+    return table(spark, sf, "events").where("value IS NOT NULL").groupBy(F.col("user_id").alias("task_id"), F.col("event_type").alias("phase")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("checkpoint"), F.max("value").alias("most"))
 
 
 @query("SELECT event_id, ts + INTERVAL 90 SECOND < TIMESTAMP '2024-01-15 00:00:00' AS expired FROM events WHERE event_type = 'click'")
@@ -114,13 +114,6 @@ def task_list(spark: S, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy(F.col("user_id").alias("task_id")).agg(F.max("ts").alias("updated"), n_rows().alias("n")).orderBy(F.desc("updated"), "task_id").limit(20)
 
 
-@query("SELECT label, sha256('model:' || string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS cache_key, count(*) AS n FROM embeddings WHERE vec_id % 4 = 0 GROUP BY label")
-def shard_cache_key(spark: S, sf: str) -> DataFrame:
-    """A label's name from its ordered ids, over the quarter of the ids that its SQL takes; ``shard_range_keys`` is over all of them."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",")
-    return table(spark, sf, "embeddings").where("vec_id % 4 = 0").groupBy("label").agg(F.sha2(F.concat(F.lit("model:"), ids), 256).alias("cache_key"), n_rows().alias("n"))
-
-
 def shard_keys(v: DataFrame, size: int) -> DataFrame:
     """(label, shard, cache_key, n): each row of ``v`` is in the shard of its label and range of ``size`` ids, named by the shard's ordered ids."""
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",")
@@ -128,7 +121,7 @@ def shard_keys(v: DataFrame, size: int) -> DataFrame:
 
 
 @query("SELECT label, vec_id // 4096 AS shard, sha256('model:' || string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS cache_key, count(*) AS n FROM embeddings GROUP BY label, vec_id // 4096")
-def shard_range_keys(spark: S, sf: str) -> DataFrame:
+def shard_cache_key(spark: S, sf: str) -> DataFrame:
     """Every embedding is in one key, and a key is over 4096 ids at most."""
     return shard_keys(table(spark, sf, "embeddings"), 4096)
 

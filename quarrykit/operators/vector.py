@@ -167,17 +167,6 @@ def cluster_tree(spark: S, sf: str) -> DataFrame:
     return vectors(spark, sf).groupBy("label").applyInPandas(run, "label int, leaf string, vec_id long")
 
 
-@query("SELECT label AS parent, vec_id AS leaf, row_number() OVER (ORDER BY rn, label) AS place FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE vec_id % 10 = 0)")
-def leaf_round_robin(spark: S, sf: str) -> DataFrame:
-    """Children's leaf lists interleaved: first leaves of every parent, then second ones. Its SQL takes a tenth of the ids as leaves; ``leaf_round_robin_all`` takes all."""
-    t = table(spark, sf, "embeddings").where("vec_id % 10 = 0").select(F.col("label").alias("parent"), F.col("vec_id").alias("leaf"))
-    t = t.withColumn("rn", F.row_number().over(Window.partitionBy("parent").orderBy("leaf")))
-    width = t.groupBy("rn").agg(n_rows().alias("k"))
-    before = width.withColumn("base", F.coalesce(F.sum("k").over(Window.orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("rn", "base")
-    t = t.join(F.broadcast(before), "rn").withColumn("nth", F.row_number().over(Window.partitionBy("rn").orderBy("parent")))
-    return t.select("parent", "leaf", (F.col("base") + F.col("nth")).cast("long").alias("place"))
-
-
 def round_robin(t: DataFrame) -> DataFrame:
     """(parent, leaf, place) of every row (parent, leaf) of ``t``, parents' lists interleaved. Before a parent's k-th leaf come at most k - 1 of every parent, and the k-th of lesser parents: sizes (a row for each parent) are all that travels."""
     sizes = t.groupBy("parent").agg(n_rows().alias("n")).agg(F.collect_list(F.struct("parent", "n")).alias("sizes"))
@@ -187,7 +176,7 @@ def round_robin(t: DataFrame) -> DataFrame:
 
 
 @query("SELECT label AS parent, vec_id AS leaf, row_number() OVER (ORDER BY rn, label) AS place FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)")
-def leaf_round_robin_all(spark: S, sf: str) -> DataFrame:
+def leaf_round_robin(spark: S, sf: str) -> DataFrame:
     """Every embedding is a leaf of its label."""
     return round_robin(table(spark, sf, "embeddings").select(F.col("label").alias("parent"), F.col("vec_id").alias("leaf")))
 
@@ -276,9 +265,9 @@ def feature_topk(spark: S, sf: str) -> DataFrame:
     return top_features(spark, sf, 5).select("feature", "vec_id", F.round("x", 6).alias("value"), "place")
 
 
-@query(f"WITH {TOPK_SQL} SELECT feature, array_to_string(list(vec_id ORDER BY place), ',') AS representatives FROM topk WHERE place <= 3 AND feature <= 20 GROUP BY feature")
+@query(f"WITH {TOPK_SQL} SELECT feature, array_to_string(list(vec_id ORDER BY place), ',') AS representatives FROM topk WHERE place <= 3 GROUP BY feature")
 def sae_feature_list(spark: S, sf: str) -> DataFrame:
-    t = top_features(spark, sf, 3).where("feature <= 20").groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id"))).alias("r"))
+    t = top_features(spark, sf, 3).groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id"))).alias("r"))
     return t.select("feature", F.array_join(F.transform("r", lambda x: x["vec_id"].cast("string")), ",").alias("representatives"))
 
 
@@ -294,9 +283,9 @@ def color_l1(spark: S, sf: str) -> DataFrame:
     return v.join(mean, "label").select("vec_id", F.round(l1(F.col("v"), F.col("m")), 6).alias("distance"))
 
 
-@query("SELECT vec_id, CAST(d AS BIGINT) AS class, round(exp(x * 10) / sum(exp(x * 10)) OVER (PARTITION BY vec_id), 6) AS p FROM dims WHERE d <= 4")
+@query("SELECT vec_id, CAST(d AS BIGINT) AS class, round(exp(x * 10) / sum(exp(x * 10)) OVER (PARTITION BY vec_id), 6) AS p FROM dims")
 def softmax_scores(spark: S, sf: str) -> DataFrame:
-    e = F.transform(F.slice("v", 1, 4), lambda x: F.exp(x * 10))
+    e = F.transform("v", lambda x: F.exp(x * 10))
     t = vectors(spark, sf).select("vec_id", e.alias("e")).withColumn("t", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     return t.select("vec_id", "t", F.posexplode("e").alias("k", "x")).select("vec_id", (F.col("k") + 1).cast("long").alias("class"), F.round(F.col("x") / F.col("t"), 6).alias("p"))
 
