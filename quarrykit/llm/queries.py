@@ -65,7 +65,7 @@ def op5_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), most_chunks=1_500_000)
 
 
 def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
