@@ -30,7 +30,7 @@ KEY = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])")
 SECRET = re.compile(r"(?:password|passwd|token|secret|api_key|apikey)\x20?[=:]\x20?[\"']?([A-Za-z0-9_+/.-]{8,})", re.I)
 URL = re.compile(r"://[^\s<>\"']+")
 DIGITS = "0123456789"
-#: Cues are looked for in the text with A-Z lower-cased, which leaves every place as it is.
+#: Cues are looked for in the lower-cased text, every place as it was; where a letter would become two, only A-Z are lower-cased.
 CUES = {"://": "url", "akia": "key"} | dict.fromkeys(("password", "passwd", "token", "secret", "api_key", "apikey"), "secret") | dict.fromkeys(("account", "acct"), "account") | {"iban": "iban"}
 LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -80,7 +80,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     end = dict.fromkeys((*KINDS, "run"), 0)  # behind the last match of each kind, dropped ones too
-    for last, (kind, size) in automaton().iter(text.translate(LOWER)):
+    low = text.lower()
+    if len(low) != len(text):  # a letter that becomes two
+        low = text.translate(LOWER)
+    for last, (kind, size) in automaton().iter(low):
         at = last + 1 - size
         if kind == "digit":
             if at >= end["card"] and (m := CARD.match(text, at)):
