@@ -60,72 +60,6 @@ def style_loo_similarity(spark: S, sf: str) -> DataFrame:
     return with_loo(vectors(spark, sf)).select("vec_id", "label", "n", F.round("loo", 6).alias("loo"))
 
 
-SIGMA, MIN_SCORE = 0.522, 92.07
-FAMILY_SQL = LOO_SQL + f""", st AS (SELECT label, avg(loo) AS mu, stddev_pop(loo) AS sd, max(loo) AS top FROM loo GROUP BY label),
-  fam AS (SELECT vec_id, l.label, n, loo, greatest(0, mu - {SIGMA} * sd) AS threshold, greatest(0, mu - greatest(0.18, 2 * sd)) AS floor, top FROM loo l JOIN st USING (label)),
-  fs AS (SELECT *, least(100, greatest(0, (loo - floor) / nullif(top - floor, 0) * 100)) AS score FROM fam)"""
-
-
-def family_scores(v: DataFrame) -> DataFrame:
-    """Threshold mean - sigma * deviation, floor mean - max(0.18, 2 deviations), and the place between floor and best as 0 to 100."""
-    t = with_loo(v)
-    st = t.groupBy("label").agg(F.avg("loo").alias("mu"), F.stddev_pop("loo").alias("sd"), F.max("loo").alias("top"))
-    t = t.join(F.broadcast(st), "label")
-    zero = F.lit(0.0)
-    t = t.withColumns({"threshold": F.greatest(zero, F.col("mu") - SIGMA * F.col("sd")), "floor": F.greatest(zero, F.col("mu") - F.greatest(F.lit(0.18), 2 * F.col("sd")))})
-    return t.withColumn("score", F.least(F.lit(100.0), F.greatest(zero, F.try_divide(F.col("loo") - F.col("floor"), F.col("top") - F.col("floor")) * 100)))
-
-
-@query(f"WITH {FAMILY_SQL} SELECT vec_id, label, round(threshold, 6) + 0.0 AS threshold, round(floor, 6) + 0.0 AS floor, round(score, 4) + 0.0 AS score FROM fs")
-def style_family_scores(spark: S, sf: str) -> DataFrame:
-    return family_scores(vectors(spark, sf)).select("vec_id", "label", (F.round("threshold", 6) + 0.0).alias("threshold"), (F.round("floor", 6) + 0.0).alias("floor"), (F.round("score", 4) + 0.0).alias("score"))
-
-
-COMBINED_SQL = FAMILY_SQL + ", joint AS (SELECT f.*, m.score AS mem, least(100, greatest(0, m.score * 100)) AS cent FROM fs f JOIN members m USING (vec_id)), comb AS (SELECT *, 0.892 * score + 0.108 * cent AS combined FROM joint)"
-
-
-def combined(spark: S, sf: str) -> DataFrame:
-    m = members(spark, sf).select("vec_id", F.col("score").alias("mem"))
-    t = family_scores(vectors(spark, sf)).join(m, "vec_id")
-    return t.withColumn("combined", 0.892 * F.col("score") + 0.108 * F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("mem") * 100)))
-
-
-@query(f"WITH {COMBINED_SQL} SELECT vec_id, label, round(combined, 4) AS combined FROM comb")
-def style_combined(spark: S, sf: str) -> DataFrame:
-    return combined(spark, sf).select("vec_id", "label", F.round("combined", 4).alias("combined"))
-
-
-@query(f"WITH {COMBINED_SQL} SELECT vec_id, label, CASE WHEN n < 8 THEN 'small_scope_review' WHEN loo < threshold AND combined < {MIN_SCORE} THEN 'below_threshold' WHEN loo < threshold THEN 'review' ELSE 'core' END AS outcome FROM comb")
-def style_outliers(spark: S, sf: str) -> DataFrame:
-    low = F.col("loo") < F.col("threshold")
-    outcome = F.when(F.col("n") < 8, "small_scope_review").when(low & (F.col("combined") < MIN_SCORE), "below_threshold").when(low, "review").otherwise("core")
-    return combined(spark, sf).select("vec_id", "label", outcome.alias("outcome"))
-
-
-def trimmed(v: DataFrame, rounds: int = 2, sigma: float = 2.04, least: int = 4) -> DataFrame:
-    """(vec_id, label, outlier): up to ``rounds`` times the members whose mean similarity is under mean - sigma * deviation leave; groups under ``least`` keep all."""
-    active, out = v, None
-    for _ in range(rounds):
-        t = with_loo(active)
-        st = t.groupBy("label").agg((F.avg("loo") - sigma * F.stddev_pop("loo")).alias("cut"))
-        t = t.join(F.broadcast(st), "label").withColumn("bad", (F.col("loo") < F.col("cut")) & (F.col("n") >= least))
-        gone = t.where("bad").select("vec_id", "label")
-        out = gone if out is None else out.unionByName(gone)
-        active = t.where("NOT bad").select("vec_id", "label", "v")
-    return v.select("vec_id", "label").join(out.select("vec_id", F.lit(True).alias("o")), "vec_id", "left").select("vec_id", "label", F.col("o").isNotNull().alias("outlier"))
-
-
-def _round_sql(i: int, source: str) -> str:
-    return f"""d{i} AS (SELECT vec_id, label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS d FROM {source}), t{i} AS (SELECT label, list(s ORDER BY d) AS total, max(n) AS n FROM (SELECT label, d, sum(x) AS s, count(*) AS n FROM d{i} GROUP BY label, d) GROUP BY label),
-    l{i} AS (SELECT a.vec_id, a.label, a.v, n, (list_dot_product(a.v, total) - list_dot_product(a.v, a.v)) / greatest(n - 1, 1) AS loo FROM {source} a JOIN t{i} USING (label)),
-    b{i} AS (SELECT *, n >= 4 AND loo < avg(loo) OVER (PARTITION BY label) - 2.04 * stddev_pop(loo) OVER (PARTITION BY label) AS bad FROM l{i}), a{i} AS (SELECT vec_id, label, v FROM b{i} WHERE NOT bad)"""
-
-
-@query(f"WITH {_round_sql(1, 'vectors')}, {_round_sql(2, 'a1')} SELECT vec_id, label, vec_id NOT IN (SELECT vec_id FROM a2) AS outlier FROM vectors")
-def character_outliers(spark: S, sf: str) -> DataFrame:
-    return trimmed(vectors(spark, sf))
-
-
 def spherical_tree(v: np.ndarray, ids: np.ndarray, scope: str, seed: int = 7, target: int = 16, most: int = 4, split: int = 24, rounds: int = 12) -> list[tuple[str, np.ndarray]]:
     """Leaves (path, ids) of recursive spherical k-means; a node's seed comes from its path, and children are ordered by their least id."""
     out: list[tuple[str, np.ndarray]] = []
