@@ -16,10 +16,35 @@ def n_rows() -> Column:
     return F.count(F.lit(1))
 
 
-@query("SELECT scope, count(*) AS n, count(*) FILTER (threshold IS NULL) AS missing, min(value) AS lowest, median(value) AS middle, max(value) AS highest, count(*) FILTER (severity = 'high') AS strong FROM evidence JOIN samples USING (sample_id) WHERE code = 'style' GROUP BY scope")
+STYLE_LOG_SQL = """style_log AS (SELECT sample_id, n.nth, CASE WHEN n.nth = 0 THEN 'v1' ELSE 'v2' END AS version, CASE WHEN sample_id % 59 = 0 THEN 'nan'::DOUBLE WHEN sample_id % 61 = 0 THEN NULL ELSE value - n.nth END AS value, n.nth = 0 AND sample_id % 3 = 0 AS review_only
+  FROM evidence, (VALUES (0), (1)) n(nth) WHERE code = 'style' AND (n.nth = 0 OR sample_id % 17 <> 0)), style_latest AS (SELECT sample_id, max_by(version, nth) AS version, arg_max_null(value, nth) AS value, max_by(review_only, nth) AS review_only FROM style_log GROUP BY sample_id)"""
+
+
+def style_log(spark: S, sf: str) -> DataFrame:
+    """Style observations in the order they were made (nth), with the version that made them; most samples were seen by both."""
+    i = F.col("sample_id")
+    e = evidence(spark, sf).where("code = 'style'").select("sample_id", "value", F.explode(F.when(i % 17 == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("nth"))
+    value = F.when(i % 59 == 0, F.lit(float("nan"))).when(i % 61 != 0, F.col("value") - F.col("nth"))
+    return e.select("sample_id", "nth", F.when(F.col("nth") == 0, "v1").otherwise("v2").alias("version"), value.alias("value"), ((F.col("nth") == 0) & (i % 3 == 0)).alias("review_only"))
+
+
+@query(f"""WITH {STYLE_LOG_SQL} SELECT scope, count(l.sample_id) AS n, count(*) - count(l.sample_id) AS missing, count(*) FILTER (isfinite(value)) AS finite, min(value) FILTER (isfinite(value)) AS lowest, median(value) FILTER (isfinite(value)) AS middle, max(value) FILTER (isfinite(value)) AS highest,
+  count(*) FILTER (review_only) AS review_only, CASE WHEN count(DISTINCT version) = 1 THEN max(version) END AS version, CASE count(DISTINCT version) WHEN 0 THEN 'unavailable' WHEN 1 THEN 'available' ELSE 'mixed' END AS version_status
+  FROM samples LEFT JOIN style_latest l USING (sample_id) GROUP BY scope""")
 def style_summary(spark: S, sf: str) -> DataFrame:
-    e = evidence(spark, sf).where("code = 'style'").join(samples(spark, sf).select("sample_id", "scope"), "sample_id")
-    return e.groupBy("scope").agg(n_rows().alias("n"), F.count_if(F.col("threshold").isNull()).alias("missing"), F.min("value").alias("lowest"), F.percentile("value", 0.5).alias("middle"), F.max("value").alias("highest"), F.count_if(F.col("severity") == "high").alias("strong"))
+    """Each scope's style scores, by the last observation of each sample. The median is taken over distinct values with their counts, so no task holds a scope's rows."""
+    last = style_log(spark, sf).groupBy("sample_id").agg(F.max_by(F.struct("version", "value", "review_only"), "nth").alias("l")).select("sample_id", "l.*", F.lit(1).alias("seen"))
+    t = samples(spark, sf).select("sample_id", "scope").join(last, "sample_id", "left")
+    fine = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
+    per = t.groupBy("scope", fine.alias("x")).agg(n_rows().alias("rows"), F.count("seen").alias("n"), F.count_if("review_only").alias("review_only"), F.min("version").alias("v0"), F.max("version").alias("v1"))
+    w = Window.partitionBy("scope").orderBy(F.asc_nulls_last("x"))  # a row for each distinct score of a scope, as an ordered running sum
+    upto = F.sum(F.when(F.col("x").isNotNull(), F.col("rows")).otherwise(0))
+    per = per.withColumns({"upto": upto.over(w), "all": upto.over(Window.partitionBy("scope"))})
+    # places (all - 1) // 2 and all // 2, counted from 0, hold the middle
+    at = lambda place: F.min(F.when(F.col("upto") > F.floor(place), F.col("x")))
+    a = per.groupBy("scope").agg(F.sum("n").alias("n"), (F.sum("rows") - F.sum("n")).alias("missing"), F.max("all").alias("finite"), F.min("x").alias("lowest"), ((at((F.col("all") - 1) / 2) + at(F.col("all") / 2)) / 2).alias("middle"), F.max("x").alias("highest"), F.sum("review_only").alias("review_only"), F.min("v0").alias("v0"), F.max("v1").alias("v1"))
+    status = F.when(F.col("v0").isNull(), "unavailable").when(F.col("v0") == F.col("v1"), "available").otherwise("mixed")
+    return a.select("scope", "n", "missing", "finite", "lowest", "middle", "highest", "review_only", F.when(status == "available", F.col("v0")).alias("version"), status.alias("version_status"))
 
 
 LEAF_SQL = """leaves AS (SELECT label AS scope, vec_id % 7 AS leaf, count(*) AS size FROM embeddings GROUP BY ALL),

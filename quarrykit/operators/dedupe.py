@@ -167,6 +167,39 @@ def duplicate_group_audit(spark: S, sf: str) -> DataFrame:
     return g.where("size > 1 AND in_folder").select("sha", "size", "pending", "excluded", (F.col("size") - F.col("excluded")).alias("retained"), "largest", (F.col("pending") > 0).alias("unresolved"))
 
 
+MEMBERS_SQL = """WITH seen AS (SELECT sample_id, sha, unnest(CASE WHEN sample_id % 5 = 0 THEN [1.0, 0.5] WHEN sample_id % 5 = 1 THEN [NULL, 0.75] ELSE [1.0] END)::DOUBLE AS score, unnest(CASE WHEN sample_id % 5 < 2 THEN [0, 1] ELSE [0] END) AS nth FROM samples),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sha, sample_id ORDER BY score DESC NULLS LAST, nth) AS rn, count(DISTINCT sample_id) OVER (PARTITION BY sha) AS size FROM seen) WHERE rn = 1 AND size > 1),
+  numbered AS (SELECT *, dense_rank() OVER (ORDER BY sha) AS nth_group FROM best)
+  SELECT sha, b.sample_id, b.size, b.score, CAST(b.nth AS INT) AS evidence_nth, a.area, array_to_string(list_filter([512, 768, 1024, 1216, 1536], lambda r: a.area >= r * r), ',') AS resolutions, coalesce(o.decision, 'pending_review') AS decision
+  FROM numbered b JOIN areas a USING (sample_id, sha) LEFT JOIN overlay o ON o.sample_id = b.sample_id WHERE b.nth_group BETWEEN 6 AND 10"""
+
+
+def best_evidence(rows: DataFrame, by: tuple[str, ...], score: str, nth: str) -> DataFrame:
+    """Of each key the row of the highest score (null: lowest), of equals the first; one aggregate, combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in by]
+    rank = F.struct(F.col(score).isNull(), -F.col(score), F.col(nth))
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), rank).alias("r")).select(*by, "r.*")
+
+
+@query(MEMBERS_SQL)
+def duplicate_group_page(spark: S, sf: str) -> DataFrame:
+    """The second page of five duplicate groups, whole groups in order of their key: each member's best evidence, its resolutions and its decision.
+
+    Paging is the feature: the page's keys are found first (a top-k over keys), and only their members are looked up.
+    """
+    i, none = F.col("sample_id"), F.lit(None).cast("double")
+    row = lambda score, nth: F.struct(score.alias("score"), F.lit(nth).alias("nth"))
+    one = F.lit(1.0)
+    a = areas(spark, sf).select("sample_id", "sha", "area")
+    page = a.groupBy("sha").agg(n_rows().alias("size")).where("size > 1").orderBy("sha").offset(5).limit(5)
+    m = a.join(page, "sha")
+    seen = F.when(i % 5 == 0, F.array(row(one, 0), row(F.lit(0.5), 1))).when(i % 5 == 1, F.array(row(none, 0), row(F.lit(0.75), 1))).otherwise(F.array(row(one, 0)))
+    best = best_evidence(m.select("*", F.inline(seen)), ("sha", "sample_id"), "score", "nth")
+    fits = F.filter(F.array(*[F.lit(r) for r in (512, 768, 1024, 1216, 1536)]), lambda r: F.col("area") >= r * r)
+    t = best.join(overlay(spark, sf), "sample_id", "left")
+    return t.select("sha", "sample_id", "size", "score", F.col("nth").alias("evidence_nth"), "area", F.array_join(fits.cast("array<string>"), ",").alias("resolutions"), F.coalesce("decision", F.lit("pending_review")).alias("decision"))
+
+
 ELECT_SQL = HASH_SQL + """, ex AS (SELECT s.sample_id AS a, min(s.sample_id) OVER (PARTITION BY sha) AS b FROM samples s),
   vis AS (SELECT sample_id AS a, (sample_id // 3) * 3 AS b FROM samples WHERE sample_id % 3 = 1 AND sample_id - 1 IN (SELECT sample_id FROM samples)),
   e AS (SELECT a, b FROM ex WHERE a <> b UNION SELECT b, a FROM ex WHERE a <> b UNION SELECT a, b FROM vis UNION SELECT b, a FROM vis), r AS (SELECT a AS n, a AS m FROM e UNION SELECT e.a, r.m FROM e JOIN r ON e.b = r.n),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.plans.catalog import query
@@ -165,6 +165,34 @@ def metrics_long(spark: S, sf: str) -> DataFrame:
     return wide.unpivot("sample_id", ["aesthetic", "ai", "watermark"], "code", "value").where("value IS NOT NULL")
 
 
+JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+
+
+def number_of(json: Column) -> Column:
+    """The number that a JSON text is, as a double; null for texts, booleans, null, lists and objects."""
+    return F.when(json.rlike(JSON_NUMBER), json.try_cast("double"))
+
+
+MIXED = ("1.5", "true", '"7"', "null", "[1]", "-2e3", '{"a": 1}', "07", "3")
+
+
+@query(f"""SELECT doc_id AS sample_id, j AS value_json, CASE WHEN regexp_matches(j, '{JSON_NUMBER}') THEN try_cast(j AS DOUBLE) END AS value_number FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN CAST(n_chars AS VARCHAR) ELSE [{", ".join(repr(x) for x in MIXED)}][doc_id % 10 + 1] END AS j FROM documents)""")
+def numeric_shadow(spark: S, sf: str) -> DataFrame:
+    """A number column beside mixed JSON values."""
+    i = (F.col("doc_id") % 10).cast("int")
+    j = F.when(i == 9, F.col("n_chars").cast("string")).otherwise(F.get(F.array(*map(F.lit, MIXED)), i))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), j.alias("value_json")).withColumn("value_number", number_of(F.col("value_json")))
+
+
+@query("SELECT doc_id AS sample_id, CASE WHEN wm < 0.5 THEN 'clean' ELSE 'watermark' END AS label, round(greatest(wm, 1 - wm), 9) AS p, len(list_filter([1 - wm, wm], lambda x: x >= 0.25))::INT AS likely FROM scores")
+def label_probabilities(spark: S, sf: str) -> DataFrame:
+    """A map from label to probability; its largest entry, and how many labels are likely."""
+    m = F.map_from_arrays(F.array(F.lit("clean"), F.lit("watermark")), F.array(1 - F.col("wm"), F.col("wm")))
+    t = scores(spark, sf).select(F.col("doc_id").alias("sample_id"), m.alias("m"))
+    top = F.array_max(F.transform(F.map_entries("m"), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("label"))))
+    return t.select("sample_id", top["label"].alias("label"), F.round(top["p"], 9).alias("p"), F.size(F.map_filter("m", lambda _, p: p >= 0.25)).alias("likely"))
+
+
 @query("SELECT sample_id, r AS resolution, area >= r * r AS area_pass FROM areas, (VALUES (512), (768), (1024), (1216), (1536)) t(r)")
 def resolution_area_pass(spark: S, sf: str) -> DataFrame:
     r = F.col("resolution")

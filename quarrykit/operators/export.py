@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.operators import dedupe, review
 from quarrykit.plans.catalog import query
-from quarrykit.plans.domain import areas, evidence, overlay, samples, scores
+from quarrykit.plans.domain import areas, evidence, overlay, samples
 from quarrykit.sources.tables import table
 
 S = SparkSession
@@ -15,16 +15,27 @@ S = SparkSession
 
 def n_rows() -> Column:
     return F.count(F.lit(1))
-MINIMUM_AREA, FOLDER_MINIMUM = 512 * 512, 3
+MINIMUM_AREA, FOLDER_MINIMUM, DOMAIN_MINIMUM = 512 * 512, 3, 0.5
 
-STYLE_SQL = """styled AS (SELECT s.sample_id, CASE WHEN e.sample_id IS NULL THEN 'style_missing' WHEN e.threshold IS NULL THEN 'style_unthresholded' WHEN e.severity = 'high' THEN 'style_outlier' WHEN e.severity = 'medium' THEN 'style_review' ELSE 'core' END AS style
-  FROM samples s LEFT JOIN (SELECT * FROM evidence WHERE code = 'style') e USING (sample_id))"""
+STYLE_ROWS_SQL = """SELECT e.sample_id, CASE WHEN e.sample_id % 29 = 0 THEN 'style_old' ELSE e.source END AS source, e.threshold, unnest(CASE WHEN e.sample_id % 23 = 0 THEN [e.severity, 'info'] ELSE [e.severity] END) AS severity FROM evidence e JOIN samples s USING (sample_id) WHERE e.code = 'style' AND s.state = 'valid'"""
+STYLE_SQL = f"""styled AS (SELECT s.sample_id, CASE WHEN count(e.sample_id) = 0 THEN 'style_missing' WHEN count(*) FILTER (e.source <> 'style_head' OR e.threshold IS DISTINCT FROM 92.07) > 0 THEN 'style_provenance_mismatch'
+  WHEN count(DISTINCT e.severity) > 1 THEN 'style_ambiguous' WHEN max(e.severity) = 'high' THEN 'style_outlier' WHEN max(e.severity) = 'medium' THEN 'style_review' ELSE 'core' END AS style FROM samples s LEFT JOIN ({STYLE_ROWS_SQL}) e USING (sample_id) GROUP BY s.sample_id)"""
+
+
+def style_states(spark: S, sf: str) -> DataFrame:
+    """(sample_id, style) of samples with rows of style: rows of another model or threshold, or that differ, give no class. Only valid samples have rows."""
+    i = F.col("sample_id")
+    valid = samples(spark, sf).where("state = 'valid'").select("sample_id")
+    e = evidence(spark, sf).where("code = 'style'").join(valid, "sample_id", "left_semi")
+    e = e.select("sample_id", F.when(i % 29 == 0, "style_old").otherwise(F.col("source")).alias("source"), "threshold", F.explode(F.when(i % 23 == 0, F.array("severity", F.lit("info"))).otherwise(F.array("severity"))).alias("severity"))
+    own = (F.col("source") == "style_head") & F.col("threshold").eqNullSafe(92.07)
+    a = e.groupBy("sample_id").agg(F.bool_and(own).alias("own"), F.min("severity").alias("low"), F.max("severity").alias("high"))
+    c = F.when(~F.col("own"), "style_provenance_mismatch").when(F.col("low") < F.col("high"), "style_ambiguous").when(F.col("high") == "high", "style_outlier").when(F.col("high") == "medium", "style_review").otherwise("core")
+    return a.select("sample_id", c.alias("style"))
 
 
 def style_classes(spark: S, sf: str) -> DataFrame:
-    e = evidence(spark, sf).where("code = 'style'").select("sample_id", "threshold", "severity", F.lit(True).alias("seen"))
-    c = F.when(F.col("seen").isNull(), "style_missing").when(F.col("threshold").isNull(), "style_unthresholded").when(F.col("severity") == "high", "style_outlier").when(F.col("severity") == "medium", "style_review").otherwise("core")
-    return samples(spark, sf).select("sample_id").join(e, "sample_id", "left").select("sample_id", c.alias("style"))
+    return samples(spark, sf).select("sample_id").join(style_states(spark, sf), "sample_id", "left").select("sample_id", F.coalesce("style", F.lit("style_missing")).alias("style"))
 
 
 @query(f"WITH {STYLE_SQL} SELECT sample_id, style FROM styled")
@@ -32,11 +43,10 @@ def style_classification(spark: S, sf: str) -> DataFrame:
     return style_classes(spark, sf)
 
 
-ELIGIBLE_SQL = f"""{review.STATE_SQL}, {STYLE_SQL}, {dedupe.ELECT_SQL},
-  dom AS (SELECT doc_id AS sample_id, ai FROM scores),
+ELIGIBLE_SQL = f"""{review.STATE_SQL}, {STYLE_SQL}, {dedupe.ELECT_SQL}, {review.DOMAIN_SQL},
   early AS (SELECT a.sample_id, a.scope, a.area, a.path, o.decision, CASE WHEN a.state <> 'valid' OR a.area < {MINIMUM_AREA} THEN 'resolution_below_minimum' WHEN o.decision = 'approved_exclude' THEN 'manual_exclude' WHEN o.decision = 'approved_keep' THEN NULL
-    WHEN dom.ai >= 0.5 THEN 'outside_domain' WHEN t.state <> 'value' THEN 'aesthetic_' || t.state WHEN t.value < 3.0 THEN 'aesthetic_below_minimum' WHEN st.style <> 'core' AND st.style <> 'style_review' THEN st.style END AS reason
-    FROM areas a JOIN trusted t USING (sample_id) JOIN styled st USING (sample_id) LEFT JOIN dom USING (sample_id) LEFT JOIN overlay o ON o.sample_id = a.sample_id),
+    WHEN d.state <> 'value' THEN 'domain_' || d.state WHEN d.value < {DOMAIN_MINIMUM} THEN 'domain_below_minimum' WHEN t.state <> 'value' THEN 'aesthetic_' || t.state WHEN t.value < 3.0 THEN 'aesthetic_below_minimum' WHEN st.style <> 'core' AND st.style <> 'style_review' THEN st.style END AS reason
+    FROM areas a JOIN trusted t USING (sample_id) JOIN styled st USING (sample_id) JOIN domained d USING (sample_id) LEFT JOIN overlay o ON o.sample_id = a.sample_id),
   alive AS (SELECT e.*, c.component FROM early e LEFT JOIN c USING (sample_id)),
   prot AS (SELECT component, bool_or(coalesce(decision, '') = 'approved_keep') AS any_keep FROM alive WHERE component IS NOT NULL GROUP BY component),
   win AS (SELECT component, sample_id AS winner FROM (SELECT component, sample_id, row_number() OVER (PARTITION BY component ORDER BY area DESC, lower(path), path, sample_id) AS rn FROM alive WHERE component IS NOT NULL AND reason IS NULL) WHERE rn = 1),
@@ -50,13 +60,16 @@ def eligible(spark: S, sf: str) -> DataFrame:
 
     Duplicates are elected among what no earlier rule took; one human keep protects its whole component. Folders left with too few go last.
     """
-    t = review.trusted(spark, sf).select("sample_id", F.col("state").alias("aes_state"), "value")
-    ai = scores(spark, sf).select(F.col("doc_id").alias("sample_id"), "ai")
-    a = areas(spark, sf).select("sample_id", "scope", "area", "path", "state")
-    w = a.join(t, "sample_id").join(style_classes(spark, sf), "sample_id").join(ai, "sample_id", "left").join(overlay(spark, sf), "sample_id", "left")
+    t = review.aesthetic_states(spark, sf).select("sample_id", F.col("state").alias("aes_state"), "value")
+    d = review.states(review.domain_rows(spark, sf), "dom_new", 0, 1).select("sample_id", F.col("state").alias("dom_state"), F.col("value").alias("dom"))
+    w = areas(spark, sf).select("sample_id", "scope", "area", "path", "state")
+    for part in (t, d, style_states(spark, sf), overlay(spark, sf)):
+        w = w.join(part, "sample_id", "left")
+    dom, aes, style = (F.coalesce(c, F.lit(none)) for c, none in (("dom_state", "missing"), ("aes_state", "missing"), ("style", "style_missing")))
     reason = (
         F.when((F.col("state") != "valid") | (F.col("area") < MINIMUM_AREA), "resolution_below_minimum").when(F.col("decision") == "approved_exclude", "manual_exclude").when(F.col("decision") == "approved_keep", None)
-        .when(F.col("ai") >= 0.5, "outside_domain").when(F.col("aes_state") != "value", F.concat(F.lit("aesthetic_"), "aes_state")).when(F.col("value") < 3.0, "aesthetic_below_minimum").when(~F.col("style").isin("core", "style_review"), F.col("style"))
+        .when(dom != "value", F.concat(F.lit("domain_"), dom)).when(F.col("dom") < DOMAIN_MINIMUM, "domain_below_minimum")
+        .when(aes != "value", F.concat(F.lit("aesthetic_"), aes)).when(F.col("value") < 3.0, "aesthetic_below_minimum").when(~style.isin("core", "style_review"), style)
     )
     w = w.select("sample_id", "scope", "area", "path", "decision", reason.alias("reason")).join(dedupe.duplicate_components(spark, sf), "sample_id", "left")
     grouped = w.where("component IS NOT NULL").groupBy("component").agg(F.bool_or(F.coalesce(F.col("decision") == "approved_keep", F.lit(False))).alias("any_keep"), F.min_by(F.when(F.col("reason").isNull(), F.col("sample_id")), F.when(F.col("reason").isNull(), F.struct(-F.col("area"), F.lower("path"), "path", "sample_id"))).alias("winner"))
@@ -73,7 +86,8 @@ def eligibility(spark: S, sf: str) -> DataFrame:
     return eligible(spark, sf)
 
 
-OUTCOMES = ("included", "resolution_below_minimum", "manual_exclude", "outside_domain", "aesthetic_missing", "aesthetic_provenance_mismatch", "aesthetic_non_finite", "aesthetic_out_of_range", "aesthetic_ambiguous", "aesthetic_below_minimum", "style_missing", "style_unthresholded", "style_outlier", "duplicate_non_representative", "folder_below_minimum")
+INVALID = ("missing", "provenance_mismatch", "non_finite", "out_of_range", "ambiguous")
+OUTCOMES = ("included", "resolution_below_minimum", "manual_exclude", "domain_below_minimum", *(f"domain_{x}" for x in INVALID), "aesthetic_below_minimum", *(f"aesthetic_{x}" for x in INVALID), "style_outlier", *(f"style_{x}" for x in INVALID), "duplicate_non_representative", "folder_below_minimum")
 
 
 @query(f"WITH RECURSIVE {ELIGIBLE_SQL}, o AS (SELECT unnest([{', '.join(repr(x) for x in OUTCOMES)}]) AS outcome) SELECT o.outcome, count(e.sample_id) AS n FROM o LEFT JOIN eligible e USING (outcome) GROUP BY o.outcome")

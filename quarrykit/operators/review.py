@@ -63,12 +63,17 @@ def style_audit_list(spark: S, sf: str) -> DataFrame:
     return e.join(samples(spark, sf).select("sample_id", "scope"), "sample_id").join(d, "sample_id", "left").select("sample_id", "scope", "value", "threshold", "severity", F.coalesce("decision", F.lit("pending_review")).alias("decision"))
 
 
-@query(f"""SELECT s.scope, count(*) AS n_samples, count(*) FILTER (s.state = 'valid') AS n_valid, coalesce(max(r.risky), 0) AS n_risky, coalesce(max(r.n), 0) AS n_evidence FROM samples s
-  LEFT JOIN (SELECT scope, count(DISTINCT sample_id) AS risky, count(*) AS n FROM evidence JOIN samples USING (sample_id) WHERE {RANK_SQL} <= 2 GROUP BY scope) r ON r.scope = s.scope GROUP BY s.scope""")
+@query(f"""SELECT s.scope, count(*) AS n_samples, count(*) FILTER (s.state = 'valid') AS n_valid, coalesce(max(r.risky), 0) AS n_risky, coalesce(max(r.n), 0) AS n_evidence, coalesce(max(l.n), 0) AS n_leaves FROM samples s
+  LEFT JOIN (SELECT scope, count(DISTINCT sample_id) AS risky, count(*) AS n FROM evidence JOIN samples USING (sample_id) WHERE {RANK_SQL} <= 2 GROUP BY scope) r ON r.scope = s.scope
+  LEFT JOIN (SELECT scope, count(DISTINCT (label, vec_id % 7)) AS n FROM embeddings JOIN samples ON vec_id = sample_id GROUP BY scope) l ON l.scope = s.scope GROUP BY s.scope""")
 def folder_rollup(spark: S, sf: str) -> DataFrame:
+    """Counts of each folder: samples, valid ones, those at risk with their observations, and distinct leaf clusters that its samples are members of."""
     risks = evidence(spark, sf).where(severity_rank(F.col("severity")) <= 2).groupBy("sample_id").agg(n_rows().alias("n"))  # a row per risky sample, so no count distinct later
+    leaf = table(spark, sf, "embeddings").select(F.col("vec_id").alias("sample_id"), F.struct("label", (F.col("vec_id") % 7).alias("leaf")).alias("leaf"))
     s = samples(spark, sf).select("sample_id", "scope", "state").join(risks, "sample_id", "left")
-    return s.groupBy("scope").agg(n_rows().alias("n_samples"), F.count_if(F.col("state") == "valid").alias("n_valid"), F.count("n").alias("n_risky"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_evidence"))
+    counts = s.groupBy("scope").agg(n_rows().alias("n_samples"), F.count_if(F.col("state") == "valid").alias("n_valid"), F.count("n").alias("n_risky"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_evidence"))
+    leaves = samples(spark, sf).select("sample_id", "scope").join(leaf, "sample_id").select("scope", "leaf").distinct().groupBy("scope").agg(n_rows().alias("n_leaves"))
+    return counts.join(leaves, "scope", "left").withColumn("n_leaves", F.coalesce("n_leaves", F.lit(0)))
 
 
 @query("SELECT doc_id AS sample_id, aes FROM scores WHERE doc_id IN (SELECT sample_id FROM samples WHERE state = 'valid')")
@@ -132,18 +137,39 @@ def style_decision_counts(spark: S, sf: str) -> DataFrame:
     return style_audit_list(spark, sf).groupBy("decision").agg(n_rows().alias("n"))
 
 
-STATE_SQL = """trusted AS (SELECT s.sample_id, CASE WHEN count(e.sample_id) = 0 THEN 'missing' WHEN count(*) FILTER (e.source = 'aes_new') < count(*) THEN 'provenance_mismatch' WHEN count(*) FILTER (e.value IS NULL) > 0 THEN 'missing'
-  WHEN count(*) FILTER (isnan(e.value) OR isinf(e.value)) > 0 THEN 'non_finite' WHEN count(*) FILTER (e.value < 1 OR e.value > 5) > 0 THEN 'out_of_range' WHEN count(DISTINCT e.value) > 1 THEN 'ambiguous' ELSE 'value' END AS state,
-  max(e.value) AS value FROM samples s LEFT JOIN (SELECT * FROM evidence WHERE code = 'aesthetic') e USING (sample_id) GROUP BY s.sample_id)"""
+def state_sql(name: str, rows: str, source: str, lower: float, upper: float) -> str:
+    """``name``: (sample_id, state, value) of every sample, from the rows (sample_id, source, value) of the query ``rows``."""
+    return f"""{name} AS (SELECT s.sample_id, CASE WHEN count(e.sample_id) = 0 THEN 'missing' WHEN count(*) FILTER (e.source = '{source}') < count(*) THEN 'provenance_mismatch' WHEN count(*) FILTER (e.value IS NULL) > 0 THEN 'missing'
+  WHEN count(*) FILTER (isnan(e.value) OR isinf(e.value)) > 0 THEN 'non_finite' WHEN count(*) FILTER (e.value < {lower} OR e.value > {upper}) > 0 THEN 'out_of_range' WHEN count(DISTINCT e.value) > 1 THEN 'ambiguous' ELSE 'value' END AS state,
+  max(e.value) AS value FROM samples s LEFT JOIN ({rows}) e USING (sample_id) GROUP BY s.sample_id)"""
 
 
-def trusted(spark: S, sf: str) -> DataFrame:
-    """The one value a sample's observations agree on, or why there is none: the checks in order, in one aggregate."""
-    e = evidence(spark, sf).where("code = 'aesthetic'").select("sample_id", "source", "value")
+STATE_SQL = state_sql("trusted", "SELECT * FROM evidence WHERE code = 'aesthetic'", "aes_new", 1, 5)
+DOMAIN_SQL = state_sql("domained", """SELECT doc_id AS sample_id, CASE WHEN doc_id % 43 = 0 THEN 'dom_old' ELSE 'dom_new' END AS source, unnest(CASE WHEN doc_id % 37 = 0 THEN [1 - ai, 0.75] ELSE [CASE WHEN doc_id % 41 = 0 THEN 'nan'::DOUBLE WHEN doc_id % 47 = 0 THEN 1.5 ELSE 1 - ai END] END) AS value FROM scores""", "dom_new", 0, 1)
+
+
+def domain_rows(spark: S, sf: str) -> DataFrame:
+    """Observations of the probability that a sample is of the domain: of an old model, two that differ, not finite, or out of range for some."""
+    i, v = F.col("doc_id"), 1 - F.col("ai")
+    one = F.when(i % 41 == 0, F.lit(float("nan"))).when(i % 47 == 0, 1.5).otherwise(v)
+    return scores(spark, sf).select(i.alias("sample_id"), F.when(i % 43 == 0, "dom_old").otherwise("dom_new").alias("source"), F.explode(F.when(i % 37 == 0, F.array(v, F.lit(0.75))).otherwise(F.array(one))).alias("value"))
+
+
+def states(rows: DataFrame, source: str, lower: float, upper: float) -> DataFrame:
+    """(sample_id, state, value): the one value that a sample's rows (sample_id, source, value) agree on, or why there is none: the checks in order, in one
+    aggregate. Samples without rows are not in the result; their state is ``missing``."""
     v = F.col("value")
-    a = e.groupBy("sample_id").agg(n_rows().alias("n"), F.count_if(F.col("source") == "aes_new").alias("own"), F.count_if(v.isNull()).alias("gone"), F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("odd"), F.count_if((v < 1) | (v > 5)).alias("out"), F.min("value").alias("lo"), F.max("value").alias("value"))
-    state = F.when(F.col("n").isNull(), "missing").when(F.col("own") < F.col("n"), "provenance_mismatch").when(F.col("gone") > 0, "missing").when(F.col("odd") > 0, "non_finite").when(F.col("out") > 0, "out_of_range").when(F.col("lo") < F.col("value"), "ambiguous").otherwise("value")
-    return samples(spark, sf).select("sample_id", "scope").join(a, "sample_id", "left").select("sample_id", "scope", state.alias("state"), F.when(state == "value", v).alias("value"))
+    a = rows.groupBy("sample_id").agg(n_rows().alias("n"), F.count_if(F.col("source") == source).alias("own"), F.count_if(v.isNull()).alias("gone"), F.count_if(F.isnan(v) | (F.abs(v) == float("inf"))).alias("odd"), F.count_if((v < lower) | (v > upper)).alias("out"), F.min("value").alias("lo"), F.max("value").alias("value"))
+    state = F.when(F.col("own") < F.col("n"), "provenance_mismatch").when(F.col("gone") > 0, "missing").when(F.col("odd") > 0, "non_finite").when(F.col("out") > 0, "out_of_range").when(F.col("lo") < F.col("value"), "ambiguous").otherwise("value")
+    return a.select("sample_id", state.alias("state"), F.when(state == "value", v).alias("value"))
+
+
+def aesthetic_states(spark: S, sf: str) -> DataFrame:
+    return states(evidence(spark, sf).where("code = 'aesthetic'").select("sample_id", "source", "value"), "aes_new", 1, 5)
+
+
+def trusted(spark: S, sf: str) -> DataFrame:
+    return samples(spark, sf).select("sample_id", "scope").join(aesthetic_states(spark, sf), "sample_id", "left").select("sample_id", "scope", F.coalesce("state", F.lit("missing")).alias("state"), "value")
 
 
 @query(f"WITH {STATE_SQL} SELECT sample_id, state, CASE WHEN state = 'value' THEN value END AS value FROM trusted")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("evidence", "review", "dedupe", "vector", "style", "pixels", "coverage", "export", "incremental", "registry")
+_MODULES = ("evidence", "review", "dedupe", "vector", "style", "pixels", "coverage", "export", "incremental", "registry", "roundtrip")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.operators import dedupe
-from quarrykit.operators.dedupe import near_hash_pairs
-from quarrykit.operators.evidence import UNSAFE
+from quarrykit.operators.dedupe import best_evidence, near_hash_pairs
+from quarrykit.operators.evidence import UNSAFE, number_of
 from quarrykit.operators.export import compare_trees
 from quarrykit.operators.graph import connected_components
 from quarrykit.operators.incremental import merge_rescan, shard_keys
 from quarrykit.operators.registry import model, register_model
+from quarrykit.operators.review import states
 from quarrykit.operators.vector import allocate_quota, pick_diverse, round_robin, spherical_tree
 from quarrykit.streaming.tail import commit_batches, tail, window_counts
 
@@ -151,3 +152,26 @@ def test_streams(spark, tmp_path):
     commit_batches(spark.readStream.schema(schema).parquet(src), str(tmp_path / "b"), str(tmp_path / "ck2"))
     assert spark.read.parquet(str(tmp_path / "b")).count() == 30
     assert {r["n"] for r in window_counts(t).collect()} == {10}
+
+
+def test_numbers_of_json(spark):
+    texts = ["1", "-0.5", "1e3", "true", "null", '"1"', "01", "1.", ".5", "[1]", "{}", "NaN", "Infinity", "", None, "1 "]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, j string")
+    got = [r["x"] for r in t.select("i", number_of(t["j"]).alias("x")).orderBy("i").collect()]
+    assert got == [1.0, -0.5, 1000.0] + [None] * 13
+
+
+def test_states_name_the_first_check_that_fails(spark):
+    nan, inf = float("nan"), float("inf")
+    seen = {1: [("own", 2.0)], 2: [("own", 2.0), ("old", 2.0)], 3: [("own", None)], 4: [("own", nan)], 5: [("own", -inf)], 6: [("own", 9.0)], 7: [("own", 2.0), ("own", 3.0)], 8: [("own", 2.0), ("own", 2.0)], 9: [("old", nan)]}
+    t = spark.createDataFrame([(k, *r) for k, rows in seen.items() for r in rows], "sample_id long, source string, value double")
+    got = {r["sample_id"]: (r["state"], r["value"]) for r in states(t, "own", 1, 5).collect()}
+    none = {2: "provenance_mismatch", 3: "missing", 4: "non_finite", 5: "non_finite", 6: "out_of_range", 7: "ambiguous", 9: "provenance_mismatch"}
+    assert got == {1: ("value", 2.0), 8: ("value", 2.0)} | {k: (s, None) for k, s in none.items()}
+
+
+def test_best_evidence(spark):
+    rows = [("g", 1, 0.5, 0), ("g", 1, 0.9, 1), ("g", 1, 0.9, 2), ("g", 2, None, 0), ("g", 2, 0.1, 1), ("h", 1, None, 3), ("h", 1, None, 2)]
+    t = spark.createDataFrame(rows, "sha string, sample_id long, score double, nth int")
+    got = {(r["sha"], r["sample_id"]): (r["score"], r["nth"]) for r in best_evidence(t, ("sha", "sample_id"), "score", "nth").collect()}
+    assert got == {("g", 1): (0.9, 1), ("g", 2): (0.1, 1), ("h", 1): (None, 2)}
